@@ -113,8 +113,8 @@ def segments(joins: Column, n: Column, start="wl_start", step="wl_step") -> Colu
     edges = F.array_distinct(F.concat(F.array(F.lit(0)), F.coalesce(cuts, F.array().cast("array<int>")),
                                       F.array(n.cast("int"))))
     return let(edges, lambda e: F.transform(F.sequence(F.lit(1), F.greatest(F.size(e) - 1, F.lit(1))),
-                                            lambda i: F.struct(F.element_at(e, i).alias("start"),
-                                                               F.element_at(e, i + 1).alias("end"))))
+                                            lambda i: F.named_struct(F.lit("start"), F.element_at(e, i),
+                                                                     F.lit("end"), F.element_at(e, i + 1))))
 
 
 def segment_index(ch: Column, segs: Column) -> Column:

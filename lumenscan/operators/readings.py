@@ -419,18 +419,23 @@ def spec_columns(df: DataFrame, spec: list, col: str = "r", out: str = "readings
         elif isinstance(s, WindowMax):
             value = A.max_known(kernel_window(arr, s.kernel, s.lo, s.hi))
         else:
-            def best(z, s=s):
-                return A.max_known(F.array(*[A.dot(z, [float(p) for p in row]) / F.size(z) for row in s.matrix]))
-            v = F.concat(*[F.transform(kernel_window(arr, s.kernel, lo, hi), lambda x: -x) for lo, hi in s.windows])
-
-            def standard(x, s=s):
-                stats = F.struct(A.mean(x).alias("m"), (A.sd(x) + F.lit(s.epsilon)).alias("d"))
-                return A.let(stats, lambda p: F.transform(x, lambda e: (e - p["m"]) / p["d"]))
-            value = A.let(A.let(v, standard), best)
+            value = _prototype_column(s, arr)
         pairs += [F.lit(s.name), value]
     return df.withColumn(out, F.create_map(*pairs))
 
 
+def _prototype_column(s: Prototypes, arr: Column) -> Column:
+    v = F.concat(*[F.transform(kernel_window(arr, s.kernel, lo, hi), lambda x: -x) for lo, hi in s.windows])
+
+    def standard(x):
+        stats = F.struct(A.mean(x).alias("m"), (A.sd(x) + F.lit(s.epsilon)).alias("d"))
+        return A.let(stats, lambda p: F.transform(x, lambda e: (e - p["m"]) / p["d"]))
+
+    def best(z):
+        return A.max_known(F.array(*[A.dot(z, [float(p) for p in row]) / F.size(z) for row in s.matrix]))
+    return A.let(A.let(v, standard), best)
+
+
 def kernel_window(arr: Column, kernel: dict, lo: float, hi: float) -> Column:
     """E over an inclusive window: only the channels the window needs are smoothed."""
     sg = kernel["savgol"]
@@ -555,6 +560,10 @@ def linear_score(features: Column, coefficients, offset: float, centre=None) ->
     return F.when(F.size(features) == len(b), A.dot(features, b) + F.lit(float(offset) - shift))
 
 
+def _subtract(values: Column, load: Column, score: Column) -> Column:
+    return F.zip_with(values, load, lambda e, p: e - score * p)
+
+
 def domain_statistics(df: DataFrame, doc: dict, features: str = "features", out: str = "domain") -> DataFrame:
     """T2, Q and ratio = max(T2 / limit, Q / limit) of a feature array against a model's training domain."""
     d = doc["domain"]
@@ -571,7 +580,7 @@ def domain_statistics(df: DataFrame, doc: dict, features: str = "features", out:
         left = F.col("_e")
         for t, comp in zip(names, d["components"]):
             load = F.lit([float(v) for v in comp["loadings_p"]])
-            left = F.zip_with(left, load, lambda e, p, t=t: e - scores[t] * p)
+            left = _subtract(left, load, scores[t])
         return A.total(F.transform(left, lambda e: e * e))
     q = A.let(F.struct(*[F.col(t) for t in names]), residual)
     ratio = F.greatest(t2 / F.lit(float(d["t2_limit"])), q / F.lit(float(d["q_limit"])))

@@ -189,6 +189,11 @@ def band_line_notes(nt: dict, verdict: Column, step: Column, m: Column, specs: l
     return out
 
 
+def _first_key(keys: Column, base: str, banned) -> Column:
+    hits = F.filter(keys, lambda k: (note_base_key(k) == base) & (~k.isin(*banned) if banned else F.lit(True)))
+    return F.try_element_at(hits, F.lit(1))
+
+
 def shown_notes(notes: Column, nt: dict, lifted: Column) -> Column:
     """At most ``max_shown`` keys: the rule's note, the band line, one supporting note, then the quietest tier only if
     a slot is left and no band line shows. Warnings are added outside the limit."""
@@ -198,8 +203,7 @@ def shown_notes(notes: Column, nt: dict, lifted: Column) -> Column:
         def first(names, banned=(), hidden=None):
             hits = []
             for p in names:
-                hit = F.filter(keys, lambda k, p=p: (note_base_key(k) == p) & (~k.isin(*banned) if banned else F.lit(True)))
-                one = F.try_element_at(hit, F.lit(1))
+                one = _first_key(keys, p, banned)
                 hits.append(F.when(~lifted, one) if hidden == p else one)
             return F.coalesce(*hits, F.lit(None).cast("string"))
         hide = "positive_signs" if nt.get("positive_signs_hidden_after_lift", True) else None
