@@ -87,10 +87,23 @@ def argmax(arr: Column) -> Column:
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
 
 
+def whole(arr: Column) -> Column:
+    """No null items."""
+    return F.size(F.array_compact(arr)) == F.size(arr)
+
+
 def max_known(arr: Column) -> Column:
-    """Maximum, or null when any value is NaN (array_max would call NaN the largest)."""
-    return F.when(F.exists(arr, lambda x: x.isNull() | F.isnan(x)), F.lit(None).cast("double")).otherwise(
-        F.array_max(arr))
+    """Maximum, or null when any value is null or NaN. Spark calls NaN the largest value, so one NaN shows as the
+    maximum and no second pass is needed."""
+    return F.when(whole(arr), F.nanvl(F.array_max(arr), F.lit(None).cast("double")))
+
+
+def mean_sd(arr: Column) -> Column:
+    """struct(mean, sd) with the population SD, in two passes."""
+    def spread(m):
+        ss = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))
+        return F.named_struct(F.lit("mean"), m, F.lit("sd"), F.when(F.size(arr) > 0, F.sqrt(ss / F.size(arr))))
+    return let(mean(arr), spread)
 
 
 def second_difference(arr: Column) -> Column:

@@ -28,9 +28,10 @@ def _null(t: str) -> Column:
 def range_stats(df: DataFrame, lo: float = 1000, hi: float = 2450, col: str = "r", out: str = "range") -> DataFrame:
     """Mean, population SD, minimum and maximum of R inside a range (non-finite results are null)."""
     x = A.covered(F.col(col), lo, hi)
-    return df.withColumn(out, A.let(x, lambda v: F.struct(
-        N.finite(A.mean(v)).alias("mean"), N.finite(A.sd(v)).alias("sd"),
-        N.finite(F.array_min(v)).alias("min"), N.finite(A.max_known(v)).alias("max"))))
+    return df.withColumn(out, A.let(x, lambda v: A.let(A.mean_sd(v), lambda p: F.named_struct(
+        F.lit("mean"), N.finite(p["mean"]), F.lit("sd"), N.finite(p["sd"]),
+        F.lit("min"), N.finite(F.array_min(v)), F.lit("max"), N.finite(A.max_known(v)),
+        F.lit("whole"), A.whole(v)))))
 
 
 def range_stats_long(long: DataFrame, lo: float, hi: float, key: str = "scan_id") -> DataFrame:
@@ -183,7 +184,6 @@ def acquisition(df: DataFrame, rules: dict = ACQUISITION, col: str = "r", dn: st
     arr = F.col(col)
     df = range_stats(df, lo, hi, col, "_rs")
     df = splice_steps(df, col, rules["B8_splice_step"]["fit_points_lower"], rules["B8_splice_step"]["fit_points_upper"], "_steps")
-    x = A.covered(arr, lo, hi)
     if dn is None:
         no_dn = (F.when(F.col("format") == "legacy", F.lit("the file stores reflectance only")).otherwise(F.lit("no raw DN (spectrum input)"))
                  if "format" in df.columns else F.lit("no raw DN (spectrum input)"))
@@ -195,7 +195,8 @@ def acquisition(df: DataFrame, rules: dict = ACQUISITION, col: str = "r", dn: st
         have = F.col(dn).isNotNull()
         b2 = _check(F.when(have, S.assessed()).otherwise(S.not_assessed(why)),
                     F.when(have, F.when(N.ge(top, rules["B2_saturation"]["dn_at_least"]), F.lit("Unusable")).otherwise(F.lit("ok"))), max_dn=top)
-    bad = F.exists(x, lambda v: ~N.is_finite(v) | N.le(v, rules["B3_impossible"]["r_at_most"]))
+    # any non-finite or non-positive value shows in the extremes: NaN and infinity are the largest values
+    bad = ~(F.col("_rs.whole") & F.col("_rs.max").isNotNull() & N.gt(F.col("_rs.min"), rules["B3_impossible"]["r_at_most"]))
     b4 = rules["B4_panel_or_empty"]
     m, sd = F.col("_rs.mean"), F.col("_rs.sd")
     panel = N.ge(m, b4["panel_mean_range"][0]) & N.le(m, b4["panel_mean_range"][1]) & N.lt(sd, b4["panel_sd_below"])
@@ -203,7 +204,8 @@ def acquisition(df: DataFrame, rules: dict = ACQUISITION, col: str = "r", dn: st
     off = rules["B7_above_one"]["range_offsets_nm"]
     j = F.array_sort("joins_nm")
     swir1 = A.covered(arr, F.element_at(j, 1) + off[0], F.element_at(j, 2) + off[1])
-    mx = N.finite(A.max_known(swir1))
+    df = df.withColumn("_mx", A.let(A.max_known(swir1), N.finite))
+    mx = F.col("_mx")
     b8 = rules["B8_splice_step"]
     worst = F.array_max(F.array_compact("_steps"))
     word = lambda c, name: F.when(c, F.lit(name)).otherwise(F.lit("ok"))
@@ -216,7 +218,7 @@ def acquisition(df: DataFrame, rules: dict = ACQUISITION, col: str = "r", dn: st
         _check(S.assessed(), word(N.gt(mx, rules["B7_above_one"]["max_R_above"]), "Note"), max_R=mx).alias("B7"),
         _check(S.assessed(), F.when(N.gt(worst, b8["check_above"]), F.lit("Check")).when(N.gt(worst, b8["note_above"]), F.lit("Note"))
                .otherwise(F.lit("ok")), relative_steps=F.col("_steps")).alias("B8"),
-    )).drop("_rs", "_steps")
+    )).drop("_rs", "_steps", "_mx")
 
 
 def unusable(acq: str = "acquisition") -> Column:
