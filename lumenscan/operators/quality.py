@@ -13,7 +13,7 @@ from lumenscan.functions import arrays as A
 from lumenscan.functions import numeric as N
 from lumenscan.functions import status as S
 from lumenscan.operators.noise import n2, window_name
-from lumenscan.operators.spectral import extrapolations
+from lumenscan.operators.spectral import extrapolations, join_channels
 from lumenscan.rulebook import ACQUISITION, N2_WINDOWS, WL_TOL
 
 OUTCOME_RANK = ["Pass", "Note", "Check", "Unusable"]
@@ -43,11 +43,14 @@ def splice_steps(df: DataFrame, col: str = "r", n_lo: int = 5, n_hi: int = 6, ou
     """Relative step at each of the two joins: |SWIR1 line extrapolated one channel - neighbour| / |R at the SWIR1
     edge|; null where it cannot be computed."""
     arr = F.col(col)
-    e = extrapolations(arr, F.when(F.size("joins_nm") == 2, F.col("joins_nm")), n_lo, n_hi)
-    at = lambda i: F.when((i >= 0) & (i < F.size(arr)), F.try_element_at(arr, F.greatest(i, F.lit(0)) + 1))
-    s1 = F.try_divide(F.abs(e["below"] - at(e["i1"])), F.abs(at(e["i1"] + 1)))
-    s2 = F.try_divide(F.abs(e["above"] - at(e["i2"] + 1)), F.abs(at(e["i2"])))
-    return df.withColumn(out, F.array(N.finite(s1), N.finite(s2)))
+
+    def steps(j):
+        i1, i2 = j["i1"], j["i2"]
+        at = lambda i: F.when((i >= 0) & (i < F.size(arr)), F.try_element_at(arr, F.greatest(i, F.lit(0)) + 1))
+        below, above = extrapolations(arr, i1, i2, n_lo, n_hi)
+        return F.array(F.try_divide(F.abs(below - at(i1)), F.abs(at(i1 + 1))),
+                       F.try_divide(F.abs(above - at(i2 + 1)), F.abs(at(i2))))
+    return df.withColumn(out, F.transform(A.let(join_channels(F.col("joins_nm")), steps), N.finite))
 
 
 def relative_steps(arr: Column) -> Column:

@@ -296,28 +296,32 @@ def line_weights(m: int, at: float) -> list[float]:
     return [float(v) for v in 1.0 / m + x * (at - (m - 1) / 2.0) / (x @ x)]
 
 
-def extrapolations(arr: Column, joins: Column, n_lo: int, n_hi: int) -> dict[str, Column]:
-    """Channel of each join and the SWIR1 line extrapolated one channel across it."""
+def join_channels(joins: Column) -> Column:
+    """struct(i1, i2): the last channel of the lower and of the middle detector."""
     j = F.array_sort(joins)
     last_le = lambda k: (F.floor((F.element_at(j, k) - F.col("wl_start") + WL_TOL) / F.col("wl_step"))).cast("int")
-    i1, i2 = last_le(1), last_le(2)
-    return {"i1": i1, "i2": i2,
-            "below": A.dot(A.span(arr, i1 + 1, i1 + n_lo), line_weights(n_lo, -1.0)),
-            "above": A.dot(A.span(arr, i2 - n_hi + 1, i2), line_weights(n_hi, float(n_hi)))}
+    return F.when(F.size(joins) == 2, F.named_struct(F.lit("i1"), last_le(1), F.lit("i2"), last_le(2)))
+
+
+def extrapolations(arr: Column, i1: Column, i2: Column, n_lo: int, n_hi: int) -> tuple[Column, Column]:
+    """The SWIR1 line extrapolated one channel below its first and above its last channel."""
+    return (A.dot(A.span(arr, i1 + 1, i1 + n_lo), line_weights(n_lo, -1.0)),
+            A.dot(A.span(arr, i2 - n_hi + 1, i2), line_weights(n_hi, float(n_hi))))
 
 
 def splice_correct(df: DataFrame, n_lo: int = 5, n_hi: int = 6, joins=None, col: str = "r") -> DataFrame:
     """Shift the outer detectors so that they meet the SWIR1 line extrapolated across each join."""
     j = F.lit([float(v) for v in joins]) if joins is not None else F.col("joins_nm")
-    e = extrapolations(F.col(col), F.when(F.size(j) == 2, j), n_lo, n_hi)
-    df = df.withColumns({"_i1": e["i1"], "_i2": e["i2"], "_below": e["below"], "_above": e["above"]})
+    df = df.withColumn("_j", join_channels(j)).withColumns({"_i1": F.col("_j.i1"), "_i2": F.col("_j.i2")})
+    below, above = extrapolations(F.col(col), F.col("_i1"), F.col("_i2"), n_lo, n_hi)
+    df = df.withColumns({"_below": below, "_above": above})
     at = lambda i: F.try_element_at(F.col(col), i + 1)
     df = df.withColumns({"_d1": F.col("_below") - at(F.col("_i1")), "_d2": F.col("_above") - at(F.col("_i2") + 1)})
     shift = F.struct(*[F.col(f"_{k}").alias(k) for k in ("i1", "i2", "d1", "d2")])
     df = df.withColumn(col, A.let(shift, lambda p: F.transform(F.col(col), lambda x, i: x + F.when(
         i <= p["i1"], p["d1"]).when(i > p["i2"], p["d2"]).otherwise(F.lit(0.0)))))
     return _fail(df, F.col("_d1").isNull() | F.col("_d2").isNull(), "splice correction needs two joins on the grid",
-                 col).drop("_i1", "_i2", "_below", "_above", "_d1", "_d2")
+                 col).drop("_j", "_i1", "_i2", "_below", "_above", "_d1", "_d2")
 
 
 def project_out(df: DataFrame, window_nm, direction, centre, scale: float = 1.0, col: str = "E",
