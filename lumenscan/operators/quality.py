@@ -83,14 +83,14 @@ def largest_step_long(long: DataFrame, lo: float, hi: float, key: str = "scan_id
 # ---------------------------------------------------------------------------------------------- joins, kind
 def joins_plausible(joins: Column, windows=ACQUISITION["input_matrix"]["join_windows_nm"]) -> Column:
     """One whole-nm join in each window."""
-    ok = [N.ge(F.element_at(joins, i + 1), lo) & N.le(F.element_at(joins, i + 1), hi)
-          & (F.element_at(joins, i + 1) == F.floor(F.element_at(joins, i + 1))) for i, (lo, hi) in enumerate(windows)]
+    ok = [N.ge(F.try_element_at(joins, F.lit(i + 1)), lo) & N.le(F.try_element_at(joins, F.lit(i + 1)), hi)
+          & (F.try_element_at(joins, F.lit(i + 1)) == F.floor(F.try_element_at(joins, F.lit(i + 1)))) for i, (lo, hi) in enumerate(windows)]
     return F.coalesce((F.size(joins) == len(windows)) & N.all_of(ok), F.lit(False))
 
 
 def joins_accepted(joins: Column, windows=ACQUISITION["input_matrix"]["join_windows_nm"]) -> Column:
     j = F.array_sort(joins)
-    ok = [N.ge(F.element_at(j, i + 1), lo) & N.le(F.element_at(j, i + 1), hi) for i, (lo, hi) in enumerate(windows)]
+    ok = [N.ge(F.try_element_at(j, F.lit(i + 1)), lo) & N.le(F.try_element_at(j, F.lit(i + 1)), hi) for i, (lo, hi) in enumerate(windows)]
     return F.coalesce((F.size(joins) == len(windows)) & N.all_of(ok), F.lit(False))
 
 
@@ -206,7 +206,7 @@ def acquisition(df: DataFrame, rules: dict = ACQUISITION, col: str = "r", dn: st
     empty = N.lt(m, b4["empty_mean_below"])
     off = rules["B7_above_one"]["range_offsets_nm"]
     j = F.array_sort("joins_nm")
-    swir1 = A.covered(arr, F.element_at(j, 1) + off[0], F.element_at(j, 2) + off[1])
+    swir1 = A.covered(arr, F.try_element_at(j, F.lit(1)) + off[0], F.try_element_at(j, F.lit(2)) + off[1])
     df = df.withColumn("_mx", A.let(A.max_known(swir1), N.finite))
     mx = F.col("_mx")
     b8 = rules["B8_splice_step"]

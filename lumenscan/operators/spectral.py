@@ -299,7 +299,7 @@ def line_weights(m: int, at: float) -> list[float]:
 def join_channels(joins: Column) -> Column:
     """struct(i1, i2): the last channel of the lower and of the middle detector."""
     j = F.array_sort(joins)
-    last_le = lambda k: (F.floor((F.element_at(j, k) - F.col("wl_start") + WL_TOL) / F.col("wl_step"))).cast("int")
+    last_le = lambda k: (F.floor((F.try_element_at(j, F.lit(k)) - F.col("wl_start") + WL_TOL) / F.col("wl_step"))).cast("int")
     return F.when(F.size(joins) == 2, F.named_struct(F.lit("i1"), last_le(1), F.lit("i2"), last_le(2)))
 
 

@@ -22,22 +22,23 @@ def _kernel(window: int) -> dict:
 
 def spectral_views(scans: DataFrame, smoothing: int = 21, stream: str = "r", measured: str = "r", projections: dict | None = None) -> DataFrame:
     """R, A, second derivative at the chart smoothing and at the evidence kernel, the projected windows, and the first
-    three again as measured. One array column per view."""
+    three again as measured. One array column ``view_<name>`` per view (Spark column names ignore case, so a bare R
+    would replace r)."""
     w = odd_smoothing(smoothing)
     clip = KERNEL_E31["absorbance_clip"]
-    df = scans.withColumn("R", F.col(stream))
-    df = S.absorbance(df, clip, stream, "A")
-    df = S.derivative(df, _kernel(w), stream, "D2")
-    df = S.derivative(df, KERNEL_E31, stream, "D2_31")
+    df = scans.withColumn("view_R", F.col(stream))
+    df = S.absorbance(df, clip, stream, "view_A")
+    df = S.derivative(df, _kernel(w), stream, "view_D2")
+    df = S.derivative(df, KERNEL_E31, stream, "view_D2_31")
     parts = {}
     for name, p in (projections or {}).items():
-        df = S.project_out(df, p["window_nm"], p["direction"], p["centre"], p["scale"], "D2_31", f"_p_{name}")
+        df = S.project_out(df, p["window_nm"], p["direction"], p["centre"], p["scale"], "view_D2_31", f"_p_{name}")
         parts[name] = F.struct(F.lit(float(p["window_nm"][0])).alias("wl_start"), F.col(f"_p_{name}").alias("values"))
-    df = df.withColumn("D2_31_projected", F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]) if parts
+    df = df.withColumn("view_D2_31_projected", F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]) if parts
                        else F.lit(None).cast("map<string,struct<wl_start:double,values:array<double>>>"))
-    df = df.withColumn("R_meas", F.col(measured))
-    df = S.absorbance(df, clip, measured, "A_meas")
-    df = S.derivative(df, _kernel(w), measured, "D2_meas")
+    df = df.withColumn("view_R_meas", F.col(measured))
+    df = S.absorbance(df, clip, measured, "view_A_meas")
+    df = S.derivative(df, _kernel(w), measured, "view_D2_meas")
     return df.drop(*[f"_p_{k}" for k in parts])
 
 
