@@ -669,11 +669,11 @@ def _result_revisions(spark, sf):
 
 
 @query("content_dedupe", """WITH h AS (SELECT doc_id, sha256(text) AS sha FROM documents), f AS (SELECT sha, min(doc_id) AS first_doc, count(*) AS copies FROM h GROUP BY sha)
-SELECT doc_id, sha, CASE WHEN first_doc <> doc_id THEN first_doc END AS same_content_as, copies FROM h JOIN f USING (sha)""")
+SELECT doc_id, sha, CASE WHEN first_doc <> doc_id THEN first_doc::VARCHAR END AS same_content_as, copies FROM h JOIN f USING (sha)""")
 def _dedupe(spark, sf):
     h = table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("sha"))
     f = h.groupBy("sha").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
-    return h.join(f, "sha").select("doc_id", "sha", F.when(F.col("first_doc") != F.col("doc_id"), F.col("first_doc")).alias("same_content_as"), "copies")
+    return h.join(f, "sha").select("doc_id", "sha", F.when(F.col("first_doc") != F.col("doc_id"), F.col("first_doc").cast("string")).alias("same_content_as"), "copies")
 
 
 @query("drop_shadowed", """WITH p AS (SELECT '/d' || (doc_id % 7) || '/scan' || (doc_id // 14) || CASE WHEN doc_id % 14 < 7 THEN '.asd' ELSE '.asd.sco' END AS path, doc_id FROM documents)

@@ -156,10 +156,11 @@ def signed(spark, sf) -> DataFrame:
     return K.check_soft(K.check_foreign_organic(K.check_signs(d)))
 
 
-@query("contamination_signs", SIGN_CTE + f"""SELECT k, plaster, wax, ester, burnt, c1_state, c1, {q6("CASE WHEN c1_state = 'assessed' THEN ex END")} AS excess FROM o""")
+@query("contamination_signs", SIGN_CTE + f"""SELECT k, coalesce(plaster::VARCHAR, 'unknown') AS plaster, wax, ester, burnt, c1_state, coalesce(c1::VARCHAR, 'unknown') AS c1, {q6("CASE WHEN c1_state = 'assessed' THEN ex END")} AS excess FROM o""")
 def _signs(spark, sf):
     d = signed(spark, sf)
-    return d.select("k", *[F.col(f"signs.{s}.fired").alias(s) for s in ("plaster", "wax", "ester", "burnt")], F.col("C1.status.state").alias("c1_state"), F.col("C1.fired").alias("c1"), r6(F.col("C1.excess")).alias("excess"))
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    return d.select("k", word("signs.plaster.fired").alias("plaster"), *[F.col(f"signs.{s}.fired").alias(s) for s in ("wax", "ester", "burnt")], F.col("C1.status.state").alias("c1_state"), word("C1.fired").alias("c1"), r6(F.col("C1.excess")).alias("excess"))
 
 
 @query("soft_tier", SIGN_CTE + """SELECT k, NOT (coalesce(plaster, false) OR wax OR ester OR coalesce(c1, false)) AND ((c1_state = 'assessed' AND NOT g_c1 AND ex >= CASE WHEN tail THEN 6.1e0 ELSE 6.6e0 END) OR es >= 13.1e0 OR (NOT g_pl AND jl >= 0.026e0)) AS fired FROM o""")

@@ -8,6 +8,7 @@ from lumenscan.functions import numeric as N
 from lumenscan.functions import status as S
 from lumenscan.functions import text as X
 from lumenscan.functions.records import flat_columns
+from lumenscan.operators.matching import broadcast_if_small
 
 
 def technical_table(df: DataFrame, analysis: str, maps: dict[str, list[str]] | None = None, drop=("r", "stream")) -> DataFrame:
@@ -116,8 +117,16 @@ def log_records(results: DataFrame, engine: str, dependencies: dict[str, str], r
 
 
 def append_results(records: DataFrame, path: str, log: DataFrame | None = None) -> None:
-    """Append the records whose key the log does not hold yet, partitioned by day."""
-    new = records.dropDuplicates(["result_key"])
-    if log is not None:
-        new = new.join(log.select("result_key"), "result_key", "left_anti")
-    new.write.mode("append").partitionBy("log_date").parquet(path)
+    """Append the records whose key the log does not hold yet, partitioned by day.
+
+    The log only grows, so it is never shuffled: the batch's keys go to the log, and the few already known come back.
+    """
+    new = records.dropDuplicates(["result_key"]).persist()
+    try:
+        fresh = new
+        if log is not None:
+            known = log.select("result_key").join(broadcast_if_small(new.select("result_key")), "result_key", "left_semi").distinct()
+            fresh = new.join(broadcast_if_small(known), "result_key", "left_anti")
+        fresh.write.mode("append").partitionBy("log_date").parquet(path)
+    finally:
+        new.unpersist()

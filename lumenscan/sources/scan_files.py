@@ -35,6 +35,8 @@ FORMATS = {"as8": "as8", "as7": "as7", "ASD": "legacy"}
 REFERENCE_HEADER = {"as7": (1, 17, 20), "as8": (2, 18, 20)}
 MAX_FILE_BYTES = 16 * 1024 * 1024
 CANDIDATE = r"(?i)^[^.~].*\.(asd|sco|\d{3})$"
+PLAIN_GLOB = "*.{[aA][sS][dD],[0-9][0-9][0-9]}"
+SCO_GLOB = "*.[sS][cC][oO]"
 TEMPORARY = r"(?i)\.(tmp|part)\.[^.]*$"
 
 _INTS = [k for k, (t, _) in HEADER.items() if "f" not in t]
@@ -119,8 +121,10 @@ def decode(files: DataFrame, content: str = "content") -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
-def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+def list_files(spark: SparkSession, path: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
+    """One row per file. Content is read only where it is asked for, and only of files whose name fits ``glob``."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
 def interpret(decoded: DataFrame) -> DataFrame:
@@ -139,11 +143,20 @@ def interpret(decoded: DataFrame) -> DataFrame:
     }).drop("stored_r", "decode_error")
 
 
+def scan_content(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """Candidate files with their content, without shadowed ones. Only ``.sco`` files can be shadowed, so only they are
+    compared with the listing; the bytes of all other files never meet a join."""
+    plain = candidate_files(list_files(spark, path, recursive, PLAIN_GLOB))
+    copies = candidate_files(list_files(spark, path, recursive, SCO_GLOB))
+    sources = plain.select(F.col("path").alias("_src"))
+    target = F.expr("substring(path, 1, length(path) - 4)")
+    shadowed = copies.select("path", target.alias("_src")).join(sources, "_src", "left_semi").select("path")
+    return plain.unionByName(copies.join(broadcast_if_small(shadowed), "path", "left_anti"))
+
+
 def read_scans(spark: SparkSession, path: str, recursive: bool = True, ordered: bool = False) -> DataFrame:
     """A folder of scan files as one row per file. ``ordered`` sorts by path (a range shuffle; not needed to score)."""
-    files = candidate_files(list_files(spark, path, recursive))
-    names = drop_shadowed(files.select("path"))            # a listing only: the file bytes are not shuffled twice
-    kept = files.join(broadcast_if_small(names), "path", "left_semi")
+    kept = scan_content(spark, path, recursive)
     df = interpret(decode(kept.withColumn("file_sha256", F.sha2("content", 256))))
     return df.orderBy("path") if ordered else df
 

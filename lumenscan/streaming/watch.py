@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumenscan.operators.matching import broadcast_if_small
 from lumenscan.operators.sequencing import change_counts
 from lumenscan.sources import export as X
-from lumenscan.sources.scan_files import candidate, candidate_files, decode, file_shape, interpret, list_files
+from lumenscan.sources.scan_files import candidate, decode, file_shape, interpret, scan_content
 from lumenscan.functions.text import file_name
 from lumenscan.sources.scan_files import MAX_FILE_BYTES
 
@@ -121,11 +121,13 @@ def score_stream(source: DataFrame, score: Callable[[DataFrame], DataFrame], log
 def rescan(spark: SparkSession, path: str, score: Callable[[DataFrame], DataFrame], log_path: str, engine: str = "lumenscan", dependencies: dict[str, str] | None = None, recursive: bool = True) -> None:
     """Scheduled batch: files whose (path, content) the log does not hold, including rewrites in place and files that
     were incomplete before."""
-    files = candidate_files(list_files(spark, path, recursive)).withColumns({"file_sha256": F.sha2("content", 256), "shape": file_shape(F.col("content"))})
+    files = scan_content(spark, path, recursive).withColumns({"file_sha256": F.sha2("content", 256), "shape": file_shape(F.col("content"))})
     log = read_log(spark, log_path)
     if log is not None:
+        # decide on narrow rows first; the file bytes then meet only the (usually short) list of paths to score
         seen = log.select("path", F.col("input_sha256").alias("file_sha256")).distinct()
-        files = files.join(broadcast_if_small(seen), ["path", "file_sha256"], "left_anti")
+        todo = files.select("path", "file_sha256").join(seen, ["path", "file_sha256"], "left_anti").select("path")
+        files = files.join(broadcast_if_small(todo), "path", "left_semi")
     log_batch(files, score, log_path, engine, dependencies or {}, "arrival")
 
 

@@ -96,3 +96,19 @@ def test_predictions_agree_with_the_screening(run):
 
 def test_noise_request_windows():
     assert (2220.0, 2245.0) in Z.n2_windows_for(Z.statistic_requests(__import__("lumenscan.rulebook", fromlist=["RULES"]).RULES))
+
+
+def test_readable_and_technical_tables(spark, run):
+    from lumenscan.sources.export import log_records, readable_table, technical_table
+    _, df, cfg, got = run
+    one = score(df.where("scan_id IN ('std', 'trek', 'panel')"), cfg).checkpoint()
+    words = {r.scan_id: r for r in readable_table(one, {"ryder": "ryder", "s1": "s1"}).collect()}
+    assert words["panel"].verdict == "Rescan" and words["panel"].collagen == "" and words["trek"].protein_bands == "Not assessed" and words["trek"].band_check.startswith("Not assessed: band evidence")
+    assert words["std"].collagen == "< 0.5%" and words["std"].ryder == f"{got['std'].models['ryder'].value:.1f}%" and words["std"].serial == "28313"
+    assert not set(words["std"].why.split(". ")) & set(words["std"].also_noted.split(". ")) or words["std"].also_noted == ""
+    t = technical_table(one, "radiocarbon", maps={"n2": ["2000-2100"], "models": ["ryder"]})
+    assert {"verdict.verdict", "evidence.S", "n2.2000-2100", "models.ryder.value", "acquisition.B4.mean_R", "verdict.notes_shown.n"} <= set(t.columns)
+    row = t.where("scan_id = 'std'").first()
+    assert row["n2.2000-2100"] == got["std"].n2["2000-2100"]
+    log = log_records(one.withColumns({"path": F.col("scan_id"), "input_sha256": F.sha2("scan_id", 256), "class_source": F.lit("user")}), "e", {"m": "1"})
+    assert log.select("result_key").distinct().count() == 3
