@@ -85,7 +85,8 @@ def linear_pass(df: DataFrame, build: Callable, col: str = "r") -> DataFrame:
                 op = cache[key]
                 if isinstance(op, str):
                     for i in rows:
-                        error[i] = error[i] or op
+                        if not null_row[i]:
+                            error[i] = error[i] or op
                     continue
                 Y = op.apply(X)
                 for i, y in zip(rows, Y):

@@ -663,6 +663,7 @@ def predict(df: DataFrame, doc: dict, col: str = "r", out: str = "prediction", w
     had_error, had_wl = "error" in df.columns, "wl" in df.columns
     reason = F.coalesce(*[eligibility_reason(F.size(F.col(col)), *r) for r in model_regions(doc)],
                         F.lit(None).cast("string")) if doc["kind"] != "rule" else F.lit(None).cast("string")
+    reason = F.when(F.col(col).isNull(), F.lit("no spectrum")).otherwise(reason)
     work = df.withColumns({**saved, "_why": reason}).withColumn("error", F.lit(None).cast("string"))
     work = apply_chain(work, doc.get("preprocessing", []), col)
     null = lambda t: F.lit(None).cast(t)

@@ -20,6 +20,7 @@ from lumenscan.plans.driver_queries import long_out, query, with_
 from lumenscan.plans.driver_tables import lit, q6, r6, spectra, table
 from lumenscan.rulebook import ACQUISITION, PROFILE_COLLAGEN, PROFILE_ZOOMS, RULES
 from lumenscan.sources import export as EX
+from lumenscan.sources import views as VW
 from lumenscan.sources.scan_files import candidate_files
 
 # ------------------------------------------------------------------------------------------ inputs and acceptance
@@ -369,3 +370,79 @@ def _bump(spark, sf):
 def _bodies(spark, sf):
     doc = F.to_json(F.struct(F.col("p_size").alias("b"), F.col("p_brand").alias("a"), F.col("p_partkey").cast("string").alias("version")))
     return table(spark, sf, "part").select("p_partkey", RC.body_hash(doc).alias("sha"))
+
+
+@query("bands_off", VERDICT_CTE + "SELECT k, CASE WHEN NOT unc THEN level END AS level, CASE WHEN NOT unc THEN zv END AS pattern_verdict, CASE WHEN unc THEN 'not assessed' ELSE 'assessed' END AS state FROM vd")
+def _bands_off(spark, sf):
+    d = verdict_input(spark, sf)
+    e, p = F.col("evidence"), F.col("pattern")
+    d = d.withColumns({"evidence": F.struct(*[e[c].alias(c) for c in ("status", "level", "S")], F.lit(1).alias("n_readable_core"), F.lit(1).alias("n_lit_core"), F.lit(0.0).alias("guard_max_E"), F.lit(None).cast("map<string,double>").alias("bands")),
+                       "pattern": F.struct(*[p[c].alias(c) for c in ("status", "pattern", "verdict", "pattern_verdict", "bands", "vote_band")], F.lit(False).alias("vote_1545"))})
+    d = K.bands_off(d)
+    return d.select("k", F.col("evidence.level").alias("level"), F.col("pattern.pattern_verdict").alias("pattern_verdict"), F.col("pattern.status.state").alias("state"))
+
+
+@query("near_uncorrected", """SELECT c_custkey AS k, c_custkey % 4 <> 0 AND abs(1 + (c_custkey % 41 - 20) / 100e0 - 1) <= 0.15e0 + 1e-12 AS near FROM customer""")
+def _near(spark, sf):
+    k = F.col("k")
+    req = Z.statistic_requests(RULES)
+    gain = F.lit(1.0) + (k % 41 - 20) / 100.0
+    d = cust(spark, sf).withColumns({"correction_id": F.when(k % 4 == 0, "none").otherwise("c"), "gains": F.create_map(*[x for r in req for x in (F.lit(r.name), _gain(2000, 2100, gain))])})
+    # the margin is widened by the same last-bit allowance on both sides, so that no gain sits exactly on the cut
+    return d.select("k", Z.standard_like(req, 0.15 + 1e-12).alias("near"))
+
+
+@query("join_warnings", with_("s AS (SELECT vec_id, wl, ch, abs(lead(r) OVER w - r) / abs(r) AS s FROM L WINDOW w AS (PARTITION BY vec_id ORDER BY ch))",
+                              "b AS (SELECT vec_id, j, arg_max(wl, s) AS pos FROM s JOIN (VALUES (370e0), (393e0)) t(j) ON wl BETWEEN j - 8 AND j + 8 GROUP BY ALL)") + "SELECT vec_id, count(*) FILTER (pos <> j) AS n FROM b GROUP BY vec_id")
+def _join_warnings(spark, sf):
+    d = Q.join_warnings(spectra(spark, sf), "r", half=8)
+    return d.select("vec_id", F.size("join_warnings").cast("bigint").alias("n"))
+
+
+@query("spectral_views", with_("v AS (SELECT vec_id, ch, r, log10(1e0 / greatest(r, 1e-6)) AS a FROM L)") + f"SELECT vec_id, count(*) AS n, {q6('sum(a)')} AS a_sum, {q6('sum(r)')} AS r_sum, 34 AS d2_read FROM v GROUP BY vec_id")
+def _views(spark, sf):
+    d = VW.spectral_views(spectra(spark, sf), 31)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return d.select("vec_id", F.size("view_R").cast("bigint").alias("n"), r6(add("view_A")).alias("a_sum"), r6(add("view_R_meas")).alias("r_sum"), F.size(F.array_compact("view_D2_31")).alias("d2_read"))
+
+
+@query("reference_views", with_("m AS (SELECT label, ch, avg(log10(1e0 / r)) AS a FROM L GROUP BY ALL)") + f"SELECT label::VARCHAR AS label, ch, {q6('power(10e0, -a)')} AS value FROM m")
+def _reference_views(spark, sf):
+    long = S.to_long(spectra(spark, sf), ["label"]).groupBy("label", "ch").agg(F.avg(F.log10(F.lit(1.0) / F.col("r"))).alias("a"))
+    levels = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "a"))), lambda s: s["a"]).alias("absorbance"))   # one value per channel and level
+    d = VW.reference_views(levels, 31)
+    return d.select(F.col("label").cast("string").alias("label"), F.posexplode("view_R").alias("ch", "v")).select("label", "ch", r6(F.col("v")).alias("value"))
+
+
+@query("readable_words", VERDICT_CTE + """SELECT k, CASE verdict WHEN 'Good' THEN 'Good candidate' ELSE verdict END AS verdict, CASE WHEN m < 0.5e0 THEN '< 0.5%' WHEN m < 3e0 THEN '≈ ' || printf('%.1f', least(floor(m * 10 + 0.5) / 10, 2.9)) || '% (± 1)' WHEN m < 6e0 THEN '≈ ' || greatest(floor(m + 0.5)::INT, 3) || '%' ELSE '> 6%' END AS collagen,
+ CASE zv WHEN 'Can''t tell' THEN 'Too noisy to read every collagen band' ELSE 'Protein bands resolved at 2044/2175, other bands incomplete' END AS band_check FROM vd""")
+def _readable(spark, sf):
+    d = V.collagen_verdict(verdict_input(spark, sf))
+    p = F.col("pattern")
+    d = d.withColumns({"scan_id": F.col("k"), "class": F.lit("x"), "serial": F.col("k"), "models": F.create_map(F.lit("a"), F.struct(F.col("m").alias("value"))),
+                       "pattern": F.struct(*[p[c].alias(c) for c in ("status", "pattern", "verdict", "pattern_verdict", "bands", "vote_band")], F.lit(False).alias("vote_1545"))})
+    return EX.readable_table(d).select(F.col("scan_id").alias("k"), "verdict", "collagen", "band_check")
+
+
+@query("manifest", """SELECT c_custkey::VARCHAR AS scan_id, c_mktsegment AS class, 'zooms' AS analysis, '1' AS revision FROM customer""")
+def _manifest(spark, sf):
+    d = EX.manifest(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("scan_id"), F.col("c_mktsegment").alias("class")), "zooms", {"m@1": "h"})
+    j = lambda p: F.get_json_object("manifest", p)
+    return d.select("scan_id", j("$.effective_configuration.instrument_class").alias("class"), j("$.effective_configuration.analysis").alias("analysis"), j("$.result_revision").alias("revision"))
+
+
+@query("result_keys", """SELECT count(*) AS n, count(DISTINCT (user_id, event_type, floor(value))) AS keys FROM events""")
+def _result_keys(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("path"), F.floor("value").cast("string").alias("input_sha256"), F.col("event_type").alias("class"), F.lit("user").alias("class_source"))
+    rec = EX.log_records(e, "lumenscan", {"m@1": "h"})
+    return rec.agg(F.count("*").alias("n"), F.countDistinct("result_key").alias("keys"))
+
+
+@query("scan_report", with_("g AS (SELECT vec_id, any_value(label) AS label, avg(r) AS m, min(r) AS lo, max(r) AS hi, stddev_pop(r) AS s, max(r) FILTER (wl BETWEEN 371 AND 393) AS mx FROM L GROUP BY vec_id)") + f"""
+SELECT vec_id, CASE label % 3 WHEN 0 THEN 'rejected' WHEN 1 THEN 'not_scored' ELSE 'accepted' END AS acceptance, {q6('lo')} AS lo, {q6('m')} AS mean, CASE WHEN label % 3 = 0 THEN 'Unusable' WHEN label % 3 = 1 THEN 'Pass' WHEN m < 0.15e0 OR mx > 0.35e0 THEN 'Note' ELSE 'Pass' END AS worst FROM g""")
+def _report(spark, sf):
+    rules = {**ACQUISITION, "integrity_range_nm": [350, 413], "B5_dark": {"mean_R_below": 0.15}, "B7_above_one": {"range_offsets_nm": [1, 0], "max_R_above": 0.35}, "B8_splice_step": {**ACQUISITION["B8_splice_step"], "note_above": 1e9, "check_above": 1e9}}
+    d = spectra(spark, sf).withColumns({"reject_reason": F.when(F.col("label") % 3 == 0, "unsupported: x"), "kind": F.when(F.col("label") % 3 == 1, "white_reference_save").otherwise("sample"),
+                                        "sample_dn": F.transform("r", lambda x, i: i * 1.0), "reference_dn": F.transform("r", lambda x, i: i * 2.0 + 1.0)})
+    d = Q.scan_report(d, rules)
+    return d.select("vec_id", "acceptance", r6(F.col("reflectance.min")).alias("lo"), r6(F.col("reflectance.mean")).alias("mean"), F.col("worst_outcome").alias("worst"))

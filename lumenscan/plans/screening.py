@@ -38,6 +38,7 @@ class Screening:
     recorded_gains: dict = field(default_factory=dict)
     no_b6: tuple = ()
     target: str = STANDARD_CLASS
+    cut_plan: bool = False                # write the readings to the checkpoint folder before the rules
     check_input: bool = True              # refuse scans outside the supported grid and join windows
 
     def specs(self) -> list[dict]:
@@ -48,6 +49,18 @@ class Screening:
         return {f"{d['id']}@{d.get('version')}": str(d.get("sha256", "")) for d in docs}
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """End the plan here: the rows are written to the cluster's shared checkpoint folder and read back, so the rules are
+    planned on their own and a lost executor repeats only them."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            raise ValueError("cut_plan needs spark.checkpoint.dir")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def score(scans: DataFrame, cfg: Screening) -> DataFrame:
     """Scans with every check and one verdict per profile (``verdict_<profile>``, ``sort_<profile>``)."""
     spark = scans.sparkSession
@@ -90,6 +103,8 @@ def score(scans: DataFrame, cfg: Screening) -> DataFrame:
     raw_spec = raw if (unfitted or as_measured) else []
     df = _other_models(df, other, as_measured, cfg)
     df = R.kernel_pass(df, spec + folded, "r", "readings", raw_spec, cfg.corrections)
+    if cfg.cut_plan:
+        df = cut(df)
 
     # models
     pairs_m, pairs_e = [], []
@@ -98,7 +113,8 @@ def score(scans: DataFrame, cfg: Screening) -> DataFrame:
         one = R.predict_linear(df, [d], src, "_m")
         df = one.withColumn(f"_m{len(pairs_e)}", F.col("_m")[d["id"]]).drop("_m")
         regions = R.model_regions(d)
-        why = F.coalesce(*[R.eligibility_reason(F.col("n_ch"), *r) for r in regions], F.lit(None).cast("string"))
+        why = F.coalesce(F.when(~F.col("scored"), F.lit("the scan is not scored")), F.lit(None).cast("string") if d["id"] in as_measured else F.col("stream_error"),
+                         *[R.eligibility_reason(F.col("n_ch"), *r) for r in regions])
         pairs_e.append(F.when(why.isNull(), S.assessed()).otherwise(S.not_assessed(why)))
     items_m, items_s = [], []
     for i, d in enumerate(linear):

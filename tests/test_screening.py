@@ -1,4 +1,6 @@
 """The whole job on a handful of scans: streams, models, offsets, overrides, rejected rows kept."""
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,7 +103,10 @@ def test_noise_request_windows():
 def test_readable_and_technical_tables(spark, run):
     from lumenscan.sources.export import log_records, readable_table, technical_table
     _, df, cfg, got = run
-    one = score(df.where("scan_id IN ('std', 'trek', 'panel')"), cfg).checkpoint()
+    one = score(df.where("scan_id IN ('std', 'trek', 'panel')"), replace(cfg, cut_plan=True)).checkpoint()
+    assert {r.scan_id: r.verdict.verdict for r in one.collect()} == {k: got[k].verdict.verdict for k in ("std", "trek", "panel")}
+    st = by_id(one, "model_status")
+    assert st["panel"]["cons3"].reason == "the scan is not scored" and st["panel"]["s1"].reason == "no spectrum" and st["std"]["s1"].state == "assessed"
     words = {r.scan_id: r for r in readable_table(one, {"ryder": "ryder", "s1": "s1"}).collect()}
     assert words["panel"].verdict == "Rescan" and words["panel"].collagen == "" and words["trek"].protein_bands == "Not assessed" and words["trek"].band_check.startswith("Not assessed: band evidence")
     assert words["std"].collagen == "< 0.5%" and words["std"].ryder == f"{got['std'].models['ryder'].value:.1f}%" and words["std"].serial == "28313"
