@@ -78,7 +78,7 @@ def score(scans: DataFrame, cfg: Screening) -> DataFrame:
     stat_req, band_req = Z.statistic_requests(rules), Z.band_requests(cfg.bands)
     model_req = [q for d in docs for q in Z.model_requests(d)]
     requests = stat_req + band_req + model_req
-    df = Z.noise_gains(df, requests, cfg.corrections, n=F.col("n_ch"))
+    gains = Z.gain_table(df, requests, cfg.corrections, F.col("n_ch"))
 
     # as measured: quality and noise, in the JVM
     df = Q.acquisition(df, rules["acquisition"], "r", "sample_dn" if has("sample_dn") else None)
@@ -105,6 +105,7 @@ def score(scans: DataFrame, cfg: Screening) -> DataFrame:
     df = R.kernel_pass(df, spec + folded, "r", "readings", raw_spec, cfg.corrections)
     if cfg.cut_plan:
         df = cut(df)
+    df = Z.attach_gains(df, gains, F.col("n_ch"))         # after the pass: the gains do not travel through Python
 
     # models
     pairs_m, pairs_e = [], []
@@ -244,12 +245,13 @@ def predictions(scans: DataFrame, cfg: Screening, reads: dict[str, str] | None =
         else:
             df = M.pick_correction(df, M.correction_table(scans.sparkSession, cfg.corrections), key[0], key[1:])
         req = [q for d in docs for q in Z.model_requests(d)]
-        df = Z.noise_gains(df, req, cfg.corrections, n=F.col("n_ch"))
+        gains = Z.gain_table(df, req, cfg.corrections, F.col("n_ch"))
         df = Z.n2(df, tuple(Z.n2_windows_for(req)))
         linear = [d for d in docs if _folds(d)]
         other = [d for d in docs if not _folds(d)]
         df = _other_models(df, other, {d["id"] for d in docs} if key[0] == "as_measured" else set(), cfg)
         df = R.kernel_pass(df, [f for d in linear for _, f in R.fold_model(d)], "r", "readings", corrections=cfg.corrections)
+        df = Z.attach_gains(df, gains, F.col("n_ch"))
         df = R.predict_linear(df, linear, out="models") if linear else df.withColumn("models", F.create_map().cast("map<string,struct<value:double,linear:double,components:map<string,double>>>"))
         for i, d in enumerate(other):
             p = F.col(f"_o{i}")

@@ -66,6 +66,15 @@ def test_gains_by_layout_and_reasons(spark):
     assert flags["a"] is True and flags["b"] is False and flags["c"] is False
 
 
+def test_many_layouts_take_the_salted_join(spark, monkeypatch):
+    rows = [row(f"s{i}", spectrum(0), joins=(1000.0, 1780.0 + i % 3)) for i in range(9)]
+    df = scans(spark, rows).withColumn("correction_id", F.lit("none"))
+    req = Z.statistic_requests(RULES)
+    want = by_id(Z.noise_gains(df, req, n=F.col("n")), "gains")
+    monkeypatch.setattr(Z, "MAX_BROADCAST_LAYOUTS", 1)
+    assert by_id(Z.noise_gains(df, req, n=F.col("n")), "gains") == want and len(want) == 9
+
+
 def test_consensus_sd_is_factor_times_median(spark):
     comp = lambda n, lo, k: {"name": n, "id": n, "feature": {"type": "linear", "wavelengths_nm": [float(lo + i) for i in range(3)], "weights": [k, -2.0 * k, k], "offset": 0.0}}
     doc = {"id": "c", "kind": "consensus", "preprocessing": [{"op": "absorbance", "clip_min": 1e-6}], "features": {"wavelengths_nm": []}, "consensus": {"components": [comp("a", 1550, 1.0), comp("b", 2050, 5.0), comp("c", 2060, 9.0)]}}
