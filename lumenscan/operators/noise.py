@@ -18,6 +18,7 @@ from lumenscan.functions import arrays as A
 from lumenscan.functions import numeric as N
 from lumenscan.functions import status as S
 from lumenscan.operators import weights as wt
+from lumenscan.operators.sequencing import unhashable
 from lumenscan.operators.readings import Functional, NotLinear, fold_model, windows_functional
 from lumenscan.operators.spectral import absorbance_of
 from lumenscan.rulebook import KERNEL_E31, KERNEL_N17, N2_CLIP, N2_MAD_FACTOR, N2_UNITS, N2_WINDOWS, WL_TOL
@@ -234,7 +235,9 @@ def attach_gains(df: DataFrame, table: DataFrame, n: Column, pick: str = "correc
     df = df.withColumn("_key", layout_key(n, pick))
     if "_salt" not in table.columns:
         return df.join(table, "_key", "left").drop("_key")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in ("scan_id", "vec_id") if c in df.columns] or [F.monotonically_increasing_id()]), F.lit(SALTS)).cast("int")
+    named = [c for c in ("scan_id", "vec_id", "path") if c in df.columns]
+    # a value of the row, never a row number: a repeated task must give every row the same salt
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in named or [c for c in df.columns if not unhashable(df, c)]]), F.lit(SALTS)).cast("int")
     return df.withColumn("_salt", salt).join(table, ["_key", "_salt"], "left").drop("_key", "_salt")
 
 

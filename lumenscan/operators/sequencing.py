@@ -55,7 +55,7 @@ def change_counts(df: DataFrame, keys: list[str], bucket: Column, order: list[Co
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, salts: int = 32) -> DataFrame:
     """The first k rows of each key. Every key is cut into ``salts`` parts that are reduced to k rows each before the
     final pass, so the last task of a key sees at most salts x k rows."""
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not _unhashable(df, c)]), F.lit(salts))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not unhashable(df, c)]), F.lit(salts))
     part = df.withColumn("_salt", spread)
     part = (part.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order)))
             .where(F.col("_r") <= k).drop("_salt"))
@@ -63,5 +63,5 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, salts: in
             .where(F.col("_r") <= k).drop("_r"))
 
 
-def _unhashable(df: DataFrame, name: str) -> bool:
+def unhashable(df: DataFrame, name: str) -> bool:
     return "map<" in df.schema[name].dataType.simpleString()
