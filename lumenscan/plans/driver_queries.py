@@ -737,10 +737,11 @@ def _labels(spark, sf):
 @query("ole_dates", """SELECT o_orderkey, (epoch(o_orderdate) / 86400e0 + 25569e0 + (o_orderkey % 86400) / 86400e0) AS ole, strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y-%m-%d %H:%M:%S') AS local, (o_orderkey % 20 - 10) * 60 AS utc_offset FROM orders""".replace("(epoch(o_orderdate) / 86400e0 + 25569e0 + (o_orderkey % 86400) / 86400e0) AS ole, ", ""))
 def _ole(spark, sf):
     o = table(spark, sf, "orders")
-    secs = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400
+    # seconds on the table's own clock, whatever the session's time zone
+    secs = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("o_orderdate").cast("timestamp_ntz")) + F.col("o_orderkey") % 86400
     ole = secs / F.lit(86400.0) + 25569.0
     off = D.utc_offset_minutes(ole, secs - (F.col("o_orderkey") % 20 - 10) * 3600)
-    return o.select("o_orderkey", F.date_format(D.ole_to_timestamp(ole), "yyyy-MM-dd HH:mm:ss").alias("local"), off.cast("bigint").alias("utc_offset"))
+    return o.select("o_orderkey", D.ole_to_timestamp(ole).cast("string").alias("local"), off.cast("bigint").alias("utc_offset"))
 
 
 @query("natural_order", """SELECT p_partkey, row_number() OVER (ORDER BY p_partkey // 100, p_partkey % 100) AS pos FROM part""")

@@ -326,7 +326,7 @@ def _clock(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     ts = D.tm_to_timestamp(*[x.cast("int") for x in (c % 60, k % 60, k % 24, k % 31 + 1, k % 12, c % 30 + 100)])
     age = D.reference_age_seconds(F.lit(40000.0) + k % 5000 / 86400.0, F.lit(40000.0))
-    return table(spark, sf, "orders").select("o_orderkey", F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("local"), F.round(age, 3).alias("age"))
+    return table(spark, sf, "orders").select("o_orderkey", ts.cast("string").alias("local"), F.round(age, 3).alias("age"))
 
 
 @query("note_base_keys", "SELECT c_custkey AS k, list_extract(['lift', 'lift_blocked', 'positive_signs', 'zooms_better', 'ch_above_nh', 'plus_d'], (c_custkey % 6 + 1)::INT) AS base FROM customer")
@@ -357,7 +357,7 @@ def _technical(spark, sf):
 @query("newest_first", "SELECT event_id, ts FROM (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events ORDER BY events.ts DESC, event_id LIMIT 100)")
 def _newest(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", F.lit(None).cast("bigint").alias("arrived_seq"))
-    return RK.order_newest(e, acquired="ts", path="event_id").limit(100).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    return RK.order_newest(e, acquired="ts", path="event_id").limit(100).select("event_id", F.substring(F.col("ts").cast("string"), 1, 19).alias("ts"))
 
 
 @query("version_bump", "SELECT p_partkey, (p_size + 1) || '.0.0' AS major, p_size || '.' || (p_partkey % 9 + 1) || '.0' AS minor, p_size || '.' || (p_partkey % 9) || '.4' AS patch FROM part")
