@@ -1,9 +1,10 @@
 """The registered queries of this subpackage: name -> (function of the session and the tables' folder, SQL twin or None)."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenscan.llm import media
+from lumenscan.llm import bpe, media
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -14,4 +15,8 @@ def op1_media_columns(spark: SparkSession, sf: str) -> DataFrame:
     return media.media_features(table(spark, sf, "documents"))
 
 
-QUERIES = {"op1_media_columns": (op1_media_columns, None)}
+def op10_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: (f, None) for f in (op1_media_columns, op10_bpe_round_trip)}
