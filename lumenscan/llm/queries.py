@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenscan.llm import bpe, media
+from lumenscan.llm import bpe, media, packing
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -15,8 +15,12 @@ def op1_media_columns(spark: SparkSession, sf: str) -> DataFrame:
     return media.media_features(table(spark, sf, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_media_columns, op10_bpe_round_trip)}
+QUERIES = {f.__name__: (f, None) for f in (op1_media_columns, op7_packing, op10_bpe_round_trip)}
