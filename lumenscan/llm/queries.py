@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenscan.llm import bpe, media, packing
+from lumenscan.llm import bpe, forest, media, packing
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op1_media_columns(spark: SparkSession, sf: str) -> DataFrame:
     return media.media_features(table(spark, sf, "documents"))
 
 
+def op2_prefix_forest(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "embeddings")
+    return forest.nearest(v, v.where(F.col("vec_id") % 20 == 0))
+
+
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
@@ -23,4 +29,4 @@ def op10_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_media_columns, op7_packing, op10_bpe_round_trip)}
+QUERIES = {f.__name__: (f, None) for f in (op1_media_columns, op2_prefix_forest, op7_packing, op10_bpe_round_trip)}
