@@ -179,3 +179,12 @@ def crc(data: bytes) -> int:
 
 def list_array(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def row_groups(offsets: np.ndarray, limit: int = 1 << 23) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows of about `limit` bytes; a longer row is a range of its own."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
+        yield a, min(b, n)
+        a = b
