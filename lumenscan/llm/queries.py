@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenscan.llm import bpe, forest, media, packing, quality
+from lumenscan.llm import bpe, forest, jaccard, media, packing, quality
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op6_grouped_prefix_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
@@ -33,4 +37,4 @@ def op10_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_media_columns, op2_prefix_forest, op3_quality_classifier, op7_packing, op10_bpe_round_trip)}
+QUERIES = {f.__name__: (f, None) for f in (op1_media_columns, op2_prefix_forest, op3_quality_classifier, op6_grouped_prefix_join, op7_packing, op10_bpe_round_trip)}
