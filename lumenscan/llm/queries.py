@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenscan.llm import bpe, forest, jaccard, media, packing, quality
+from lumenscan.llm import bpe, forest, jaccard, media, packing, quality, substrings
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
+def op9_fm_index_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_media_columns, op2_prefix_forest, op3_quality_classifier, op6_grouped_prefix_join, op7_packing, op10_bpe_round_trip)}
+QUERIES = {f.__name__: (f, None) for f in (op1_media_columns, op2_prefix_forest, op3_quality_classifier, op6_grouped_prefix_join, op7_packing, op9_fm_index_dedup, op10_bpe_round_trip)}
