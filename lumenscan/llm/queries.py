@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenscan.llm import bpe, forest, jaccard, media, packing, quality, substrings
+from lumenscan.llm import bpe, forest, jaccard, lines, media, packing, quality, substrings
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,6 +25,25 @@ def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = lines.dedup_lines(table(spark, sf, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
+# every line of MIN_CHARS characters meets the earlier ones of nearly its length; ids are unique in the given tables
+OP4_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+d AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM l WHERE line <> '' GROUP BY line),
+near AS (SELECT DISTINCT a.line FROM d a JOIN d b ON b.n BETWEEN a.n - {lines.TAU} AND a.n + {lines.TAU} AND b.first < a.first
+         WHERE a.n >= {lines.MIN_CHARS} AND b.n >= {lines.MIN_CHARS} AND levenshtein(a.line, b.line) <= {lines.TAU}),
+f AS (SELECT l.*, line <> '' AND (doc_id, pos) <> first AS again, line <> '' AND (doc_id, pos) = first AND line IN (SELECT line FROM near) AS close
+      FROM l LEFT JOIN d USING (line)),
+f2 AS (SELECT doc_id, pos, line, coalesce(again, false) OR line IN (SELECT line FROM near) AS gone, coalesce(close, false) AS close FROM f)
+SELECT doc_id, count(*)::INT AS n_lines, (count(*) FILTER (WHERE gone))::INT AS n_removed, (count(*) FILTER (WHERE close))::INT AS n_near,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM f2 GROUP BY doc_id"""
+
+
 def op6_grouped_prefix_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -41,4 +60,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_media_columns, op2_prefix_forest, op3_quality_classifier, op6_grouped_prefix_join, op7_packing, op9_fm_index_dedup, op10_bpe_round_trip)}
+SQL = {"op4_line_dedup": OP4_SQL}
+QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (op1_media_columns, op2_prefix_forest, op3_quality_classifier, op4_line_dedup, op6_grouped_prefix_join, op7_packing, op9_fm_index_dedup, op10_bpe_round_trip)}
