@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenscan.llm import bpe, forest, jaccard, lines, media, packing, quality, substrings
+from lumenscan.llm import bpe, forest, jaccard, lines, media, packing, quality, substrings, surrogates
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
 
 
+SURROGATE_KEY = "corpus-key-1"     # a secret of whoever runs it, in production
+
+
+def op5_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = surrogates.with_surrogates(table(spark, sf, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return rows.select("doc_id", "n_entities", "text")
+
+
 # every line of MIN_CHARS characters meets the earlier ones of nearly its length; ids are unique in the given tables
 OP4_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
@@ -61,4 +69,4 @@ def op10_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL = {"op4_line_dedup": OP4_SQL}
-QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (op1_media_columns, op2_prefix_forest, op3_quality_classifier, op4_line_dedup, op6_grouped_prefix_join, op7_packing, op9_fm_index_dedup, op10_bpe_round_trip)}
+QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (op1_media_columns, op2_prefix_forest, op3_quality_classifier, op4_line_dedup, op5_pii_surrogates, op6_grouped_prefix_join, op7_packing, op9_fm_index_dedup, op10_bpe_round_trip)}
