@@ -221,11 +221,11 @@ def far_groups(lists: DataFrame, parts: DataFrame) -> DataFrame:
     `parts` has gid, part: the component of all members, or a value of its own for a group whose members differ.
     """
     long_ = lists.groupBy("key").count().where(F.col("count") > NEAR + 1)
-    rows = lists.join(long_.drop("count"), "key").join(parts, "gid")
+    rows = lists.join(long_, "key").withColumnRenamed("count", "size").join(parts, "gid")
     often = rows.groupBy("key", "part").count().groupBy("key").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("kinds")).where(F.col("kinds") > 1)
-    blocks = (rows.join(often.select("key"), "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("gid"), F.lit(BLOCK)))
+    blocks = (rows.join(often.select("key"), "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("gid"), F.ceil(F.col("size") / BLOCK)))
               .groupBy("key", "block").agg(F.collect_list(F.struct("gid", "n", "part")).alias("them")))
-    probes = rows.join(often.select("key", F.col("m.part").alias("main")), "key").where(F.col("part") != F.col("main")).drop("main")
+    probes = rows.join(often.select("key", F.col("m.part").alias("main")), "key").where(F.col("part") != F.col("main")).drop("main", "size")
     met = probes.join(blocks, "key")
     fit = F.transform(F.filter("them", lambda x: (x["part"] != F.col("part")) & (F.least(x["n"], F.col("n")) * 100 >= F.greatest(x["n"], F.col("n")) * PERCENT)), lambda x: x["gid"])
     return met.select("gid", fit.alias("c")).where(F.size("c") > 0).groupBy("gid").agg(F.array_distinct(F.flatten(F.collect_list("c"))).alias("cands"))
