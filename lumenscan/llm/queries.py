@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenscan.llm import bpe, forest, jaccard, lines, media, packing, quality, substrings, surrogates
+from lumenscan.llm import bpe, forest, interpolation, jaccard, lines, media, packing, quality, substrings, surrogates
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
+def op8_deleted_interpolation(spark: SparkSession, sf: str) -> DataFrame:
+    return interpolation.scores(table(spark, sf, "documents"))
+
+
 def op9_fm_index_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf, "documents"))
 
@@ -69,4 +73,4 @@ def op10_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL = {"op4_line_dedup": OP4_SQL}
-QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (op1_media_columns, op2_prefix_forest, op3_quality_classifier, op4_line_dedup, op5_pii_surrogates, op6_grouped_prefix_join, op7_packing, op9_fm_index_dedup, op10_bpe_round_trip)}
+QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (op1_media_columns, op2_prefix_forest, op3_quality_classifier, op4_line_dedup, op5_pii_surrogates, op6_grouped_prefix_join, op7_packing, op8_deleted_interpolation, op9_fm_index_dedup, op10_bpe_round_trip)}
