@@ -266,3 +266,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "ref")).alias("first"))
     rest = rows.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "ref", (F.col("ref") == F.col("first.ref")).alias("is_first"))
     return plain.unionByName(rest)
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that are alone or the first of their component: smallest id, nulls last, then the earliest row.
+
+    `docs` is read twice and has to give the same rows in the same order, as stored tables do.
+    """
+    later = near_duplicates(docs, id_col, text_col).where(~F.col("is_first")).select(F.col("ref").alias("_ref"))
+    return docs.withColumn("_ref", F.monotonically_increasing_id()).join(later, "_ref", "left_anti").drop("_ref")
