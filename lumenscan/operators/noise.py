@@ -18,7 +18,6 @@ from lumenscan.functions import arrays as A
 from lumenscan.functions import numeric as N
 from lumenscan.functions import status as S
 from lumenscan.operators import weights as wt
-from lumenscan.operators.sequencing import unhashable
 from lumenscan.operators.readings import Functional, NotLinear, fold_model, windows_functional
 from lumenscan.operators.spectral import absorbance_of
 from lumenscan.rulebook import KERNEL_E31, KERNEL_N17, N2_CLIP, N2_MAD_FACTOR, N2_UNITS, N2_WINDOWS, WL_TOL
@@ -29,8 +28,6 @@ TAPS_SD = 8.0
 MOMENT_TOL = 1e-9
 UNAVAILABLE = "not available on this instrument"
 NOISE_UNKNOWN = "noise unknown (N2 not finite)"
-MAX_BROADCAST_LAYOUTS = 5_000          # a row is a few KB, so at most some 25 MB are broadcast
-SALTS = 32
 KERNELS = {"signs": KERNEL_N17, "c1": KERNEL_E31}
 
 
@@ -101,120 +98,107 @@ class GainRequest:
     own_factors: str | None = None         # band id looked up in the correction's envelope factors
 
 
-class NoGain(ValueError):
-    pass
-
+def _covariance(sd: float) -> np.ndarray:
+    """Covariance of neighbouring channels at each distance: white noise seen through a Gaussian of ``sd`` channels."""
+    if sd <= 0:
+        return np.ones(1)
+    reach = math.ceil(TAPS_SD * sd)
+    taps = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sd) ** 2)
+    return np.correlate(taps, taps, "full")[2 * reach:]
 
-def _segment_of(segs, i) -> int | None:
-    return next((s for s, (a, b) in enumerate(segs) if a <= i < b), None)
 
+def _spread(weights: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """SD of each row of weights: the quadratic form of the rows with the banded covariance."""
+    var = cov[0] * (weights * weights).sum(1)
+    for k in range(1, min(len(cov), weights.shape[1])):
+        var = var + 2.0 * cov[k] * (weights[:, :-k] * weights[:, k:]).sum(1)
+    return np.sqrt(var)
 
-def _window_segment(wl, segs, lo, hi) -> int | None:
-    if not (len(wl) >= 3 and wl[0] < lo and wl[-1] >= hi):
-        return None
-    c = np.flatnonzero((wl >= lo) & (wl < hi))
-    if len(c) == 0:
-        return None
-    a, b = _segment_of(segs, c[0] - 1), _segment_of(segs, c[-1] + 1)
-    return a if a is not None and a == b else None
 
+def _as_measured(weights: np.ndarray, segment: np.ndarray, wl: np.ndarray, joins, operators, blurs: dict):
+    """Weights on corrected absorbance as weights on measured absorbance, or the reason why there are none.
 
-def _adjoint(h: np.ndarray, wl, seg: int, segs, joins, ops) -> np.ndarray:
-    """Weights on the corrected absorbance of one segment, carried back to weights on the measured absorbance."""
-    for op in reversed(ops):
-        if op["op"] == "absorbance_affine":
-            g = op["gain"]
-            if not isinstance(g, (int, float)) and len(g) != len(segs):
-                raise NoGain(f"{UNAVAILABLE} (the correction's absorbance_affine gives {len(g)} gain values; the scan has {len(segs)} segments)")
-            h = h * float(g if isinstance(g, (int, float)) else g[seg])
-        elif op["op"] == "gaussian_blur":
-            if "sigma_nm" not in op:
-                raise NoGain("no noise propagation through the correction's gaussian_blur step (it gives no sigma_nm)")
-            try:
-                blur = wt.gaussian_blur(wl, joins, op["sigma_nm"], None, float(op.get("truncate", 4.0)), op.get("radius", "round"))
-            except wt.OperatorError as e:
-                raise NoGain(f"{UNAVAILABLE} ({e})") from None
-            back = np.zeros_like(h)
-            rows = np.flatnonzero(h)
-            np.add.at(back, blur.idx[rows], blur.w[rows] * h[rows, None])
-            h = back
-        elif op["op"] == "snv":
-            raise NoGain("non-linear correction")
+    ``segment``: the detector segment of each row. Every step is linear, so a row goes through the steps' matrices from the
+    last to the first. ``blurs`` keeps a layout's blur matrices by their parameters.
+    """
+    count = len(wt.segment_ranges(wl, joins))
+    for step in operators[::-1]:
+        kind = step["op"]
+        if kind == "snv":
+            return "non-linear correction"
+        if kind == "absorbance_affine":
+            gain = np.atleast_1d(np.asarray(step["gain"], float))
+            if np.ndim(step["gain"]) and len(gain) != count:
+                return f"{UNAVAILABLE} (the correction's absorbance_affine gives {len(gain)} gain values; the scan has {count} segments)"
+            weights = weights * np.broadcast_to(gain, count)[segment][:, None]
+        elif kind == "gaussian_blur" and "sigma_nm" in step:
+            mark = repr(sorted(step.items()))
+            if mark not in blurs:
+                try:
+                    table = wt.gaussian_blur(wl, joins, step["sigma_nm"], None, float(step.get("truncate", 4.0)), step.get("radius", "round"))
+                except wt.OperatorError as e:
+                    return f"{UNAVAILABLE} ({e})"
+                full = np.zeros((len(wl), len(wl)))
+                np.add.at(full, (np.arange(len(wl))[:, None], table.idx), table.w)
+                blurs[mark] = full
+            weights = weights @ blurs[mark]
         else:
-            raise NoGain(f"no noise propagation through the correction's {op['op']} step")
-    return h
+            lacks = " (it gives no sigma_nm)" if kind == "gaussian_blur" else ""
+            return f"no noise propagation through the correction's {kind} step{lacks}"
+    return weights
 
 
-def segment_gains(f: Functional, wl: np.ndarray, joins, ops=(), correlation_nm: float = CORRELATION_NM) -> dict[int, float]:
-    """SD per unit N2 of each detector segment's part of a reading, through a correction.
+def reading_gains(readings: list[tuple[Functional, float]], wl: np.ndarray, joins, operators=(), blurs: dict | None = None):
+    """(reading's number, segment, SD per unit N2) of each reading's part in each detector segment, and {number: problem}.
 
-    White noise smoothed by a Gaussian of ``correlation_nm``; N2 measures its second difference, so the gain is the
-    ratio of the two filters' norms.
+    All readings of a layout are rows of one matrix, a row for each segment they have weight in.
     """
-    segs = wt.segment_ranges(wl, joins)
-    try:
-        w = f.dense(wl)
-    except wt.OperatorError as e:
-        raise NoGain(f"{UNAVAILABLE} ({e})") from None
-    for lo, hi in f.supports:
-        a, b = (int(np.argmin(np.abs(wl - x))) for x in (lo, hi))
-        if _segment_of(segs, a) != _segment_of(segs, b):
-            join = wl[segs[_segment_of(segs, a)][1] - 1]
-            raise NoGain(f"{UNAVAILABLE} ({f.name}: {lo:g}-{hi:g} nm crosses the detector join at {join:g} nm)")
-    sd = correlation_nm / (wl[1] - wl[0])
-    reach = math.ceil(TAPS_SD * sd)
-    taps = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sd) ** 2) if sd > 0 else np.ones(1)
-    unit = np.linalg.norm(np.convolve([1.0, -2.0, 1.0], taps))
-    out = {}
-    for s, (a, b) in enumerate(segs):
-        part = np.where((np.arange(len(wl)) >= a) & (np.arange(len(wl)) < b), w, 0.0)
-        nz = np.flatnonzero(part)
-        if len(nz) == 0:
+    edge = np.array([b for _, b in wt.segment_ranges(wl, joins)])
+    label = np.searchsorted(edge, np.arange(len(wl)), side="right")
+    problem: dict[int, str] = {}
+    rows, owner, where = [], [], []
+    for i, (f, _) in enumerate(readings):
+        ends = [[int(np.abs(wl - x).argmin()) for x in s] for s in f.supports]
+        across = [k for k, (a, b) in enumerate(ends) if label[a] != label[b]]
+        try:
+            dense = f.dense(wl)
+        except wt.OperatorError as e:
+            problem[i] = f"{UNAVAILABLE} ({e})"
             continue
-        x = np.arange(len(wl)) - 0.5 * (nz[0] + nz[-1])
-        if abs(part.sum()) > MOMENT_TOL * np.abs(part).sum() or abs((x * part).sum()) > MOMENT_TOL * np.abs(x * part).sum():
-            raise NoGain(f"{f.name} is not a second-derivative reading (the noise model does not apply)")
-        back = _adjoint(part, wl, s, segs, joins, ops)
-        nz = np.flatnonzero(back)
-        if len(nz):
-            out[s] = 1e-5 * float(np.linalg.norm(np.convolve(back[nz[0]:nz[-1] + 1], taps)) / unit)
-    if not out:
-        raise NoGain(f"{UNAVAILABLE} ({f.name}: no weight on the scan)")
-    return out
-
-
-def gain_terms(req: GainRequest, wl: np.ndarray, joins, ops=(), noise: dict | None = None) -> list[tuple[float, float, float]]:
-    """[(lo, hi, gain)] pairing each part of a reading with its N2 window, or NoGain with the reason."""
-    if len(wl) < 3:
-        raise NoGain(f"{UNAVAILABLE} (the scan has fewer than 3 grid points)")
-    segs = wt.segment_ranges(wl, joins)
-    own = (noise or {}).get("correlation_nm")
-    corr = req.correlation_nm if own is None else float(own)
-    if req.mode == "segments":
-        out = []
-        for s, g in segment_gains(req.functional, wl, joins, ops, corr).items():
-            win = next((w for w in req.windows if _window_segment(wl, segs, *w) == s), None)
-            if win is None:
-                a, b = segs[s]
-                raise NoGain(f"{UNAVAILABLE} ({req.name}: no noise window in the detector segment {wl[a]:g}-{wl[b - 1]:g} nm)")
-            out.append((*win, g))
-        return out
-    lo, hi = req.windows[0]
-    held = _window_segment(wl, segs, lo, hi)
-    if held is None:
-        covered = len(wl) >= 3 and wl[0] < lo and wl[-1] >= hi
-        why = "is not inside one detector segment" if covered else "is not covered by the scan"
-        raise NoGain(f"{UNAVAILABLE} ({req.name}: the N2 window {lo:g}-{hi:g} nm {why})")
-    gains = segment_gains(req.functional, wl, joins, ops, corr)
-    if req.mode == "band" and len(gains) != 1:
-        raise NoGain(f"{UNAVAILABLE} ({req.name}: its kernel spans more than one detector segment)")
-    if held not in gains:
-        raise NoGain(f"{UNAVAILABLE} ({req.name}: no weight in the detector segment of the N2 window {lo:g}-{hi:g} nm)")
-    over = ((noise or {}).get("ch_envelope_factors") or {}).get(req.own_factors) if req.own_factors else None
-    return [(lo, hi, gains[held] * (float(over) if over is not None else req.factor))]
+        if across:
+            lo, hi = f.supports[across[0]]
+            problem[i] = f"{UNAVAILABLE} ({f.name}: {lo:g}-{hi:g} nm crosses the detector join at {wl[edge[label[ends[across[0]][0]]] - 1]:g} nm)"
+        elif not dense.any():
+            problem[i] = f"{UNAVAILABLE} ({f.name}: no weight on the scan)"
+        else:
+            for s in np.unique(label[dense != 0]):
+                rows.append(np.where(label == s, dense, 0.0))
+                owner.append(i)
+                where.append(int(s))
+    if not rows:
+        return [], problem
+    w, owner, where = np.array(rows), np.array(owner), np.array(where)
+    # moments about the middle of each row's own support: a second-derivative reading has neither a sum nor a slope
+    used = w != 0
+    middle = (used.argmax(1) + (len(wl) - 1 - used[:, ::-1].argmax(1))) / 2.0
+    lever = w * (np.arange(len(wl))[None, :] - middle[:, None])
+    bent = (np.abs(w.sum(1)) > MOMENT_TOL * np.abs(w).sum(1)) | (np.abs(lever.sum(1)) > MOMENT_TOL * np.abs(lever).sum(1))
+    for i in np.unique(owner[bent]):
+        problem[int(i)] = f"{readings[i][0].name} is not a second-derivative reading (the noise model does not apply)"
+    w = _as_measured(w, where, wl, joins, list(operators), {} if blurs is None else blurs)
+    if isinstance(w, str):
+        return [], {**dict.fromkeys(range(len(readings)), w), **problem}
+    out = []
+    for nm in sorted({c for _, c in readings}):
+        cov = _covariance(nm / (wl[1] - wl[0]))
+        unit = _spread(np.array([[1.0, -2.0, 1.0]]), cov)[0]
+        mine = np.array([readings[i][1] == nm and i not in problem for i in owner])
+        out += [(int(i), int(s), 1e-5 * float(g) / unit) for i, s, g in zip(owner[mine], where[mine], _spread(w[mine], cov)) if g > 0]
+    return out, problem
 
 
 GAIN_TYPE = "map<string,struct<terms:array<struct<lo:double,hi:double,gain:double>>,base:double,reason:string>>"
+_PART_TYPE = "_key string, reading string, plain boolean, gains array<struct<seg:int,gain:double>>, problem string"
 
 
 def layout_key(n: Column, pick: str = "correction_id") -> Column:
@@ -230,59 +214,96 @@ def noise_gains(df: DataFrame, requests: list[GainRequest], corrections: list[di
 
 
 def attach_gains(df: DataFrame, table: DataFrame, n: Column, pick: str = "correction_id") -> DataFrame:
-    """Join the gains back. Most scans may share one layout, so the shuffled form of the join spreads a layout's scans
-    over ``SALTS`` tasks."""
-    df = df.withColumn("_key", layout_key(n, pick))
-    if "_salt" not in table.columns:
-        return df.join(table, "_key", "left").drop("_key")
-    named = [c for c in ("scan_id", "vec_id", "path") if c in df.columns]
-    # a value of the row, never a row number: a repeated task must give every row the same salt
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in named or [c for c in df.columns if not unhashable(df, c)]]), F.lit(SALTS)).cast("int")
-    return df.withColumn("_salt", salt).join(table, ["_key", "_salt"], "left").drop("_key", "_salt")
+    """Join the gains back by layout. Spark broadcasts the table if its size in bytes allows; if not, most scans may share a
+    layout, and the skew join of adaptive execution splits their partition."""
+    return df.withColumn("_key", layout_key(n, pick)).join(table, "_key", "left").drop("_key")
+
+
+def _plain(x: Column) -> Column:
+    """A wavelength as it is written: without a trailing .0."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+def _segments(n: Column) -> Column:
+    """Detector segments [a, b) of a layout as channel numbers: a join belongs to the lower segment."""
+    s, d = F.col("wl_start"), F.col("wl_step")
+    inside = F.filter(F.coalesce("joins_nm", F.array().cast("array<double>")), lambda j: N.is_finite(j) & (j >= s) & (j < s + d * (n - 1)))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), n.cast("int")), F.transform(inside, lambda j: (F.floor((j + WL_TOL - s) / d) + 1).cast("int")))))
+    return F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def _holder(window: Column) -> Column:
+    """Number of the segment that holds an N2 window with the neighbours its second differences read; null without one."""
+    s, d, n, segs = F.col("wl_start"), F.col("wl_step"), F.col("_n"), F.col("segs")
+    first, last = F.ceil((window["lo"] - s) / d), F.ceil((window["hi"] - s) / d) - 1
+    hold = F.array_position(F.transform(segs, lambda g: (g["a"] <= first - 1) & (last + 1 < g["b"])), F.lit(True)) - 1
+    return F.when((n >= 3) & (s < window["lo"]) & (s + d * (n - 1) >= window["hi"]) & (last >= first) & (hold >= 0), hold.cast("int"))
 
 
 def gain_table(df: DataFrame, requests: list[GainRequest], corrections: list[dict], n: Column, pick: str = "correction_id",
                out: str = "gains") -> DataFrame:
-    """(_key, gains): one row per distinct layout and correction, with a broadcast hint when there are few.
+    """(_key, gains): one row per distinct layout and correction.
 
-    The distinct layouts are spread over tasks; each is independent. There are as many as pairs of detector joins and
-    corrections in use, and they are counted before anything is broadcast.
+    The numbers come from `reading_gains`, one matrix per layout; which window goes with which segment, and why a reading has
+    no gain, are column rules on a row per layout and reading.
     """
     ops = {d["id"]: (d["operator"] if isinstance(d["operator"], list) else [d["operator"]]) for d in corrections}
     noise = {d["id"]: dict((d.get("provenance") or {}).get("instrument_noise") or {}) for d in corrections}
     keyed = df.withColumns({"_key": layout_key(n, pick), "_n": n})
-    distinct = keyed.select("_key", "wl_start", "wl_step", "_n", "joins_nm",
-                            F.coalesce(F.col(pick), F.lit("none")).alias("_pick")).dropDuplicates(["_key"])
+    layouts = keyed.select("_key", "wl_start", "wl_step", "_n", "joins_nm", F.coalesce(F.col(pick), F.lit("none")).alias("_pick")).dropDuplicates(["_key"])
+    fit = F.coalesce((F.col("wl_step") > 0) & (F.col("_n") >= 3), F.lit(False))
+    known = (F.col("_pick") == "none") | F.col("_pick").isin(list(ops))
 
     def compute(frames):
         for pdf in frames:
-            keys, maps = [], []
-            for row in pdf.itertuples(index=False):
-                key, start, step, size, joins, correction = row
-                joins = () if joins is None else tuple(float(j) for j in joins)
-                record = []
-                uniform = step is not None and step > 0 and size is not None and size >= 3
-                wl = wt.grid(float(start), float(step), int(size)) if uniform else np.zeros(0)
-                for r in requests:
-                    terms, base, reason = None, None, None
-                    try:
-                        if correction != "none" and correction not in ops:
-                            raise NoGain("unknown correction")
-                        terms = gain_terms(r, wl, joins, ops.get(correction, ()), noise.get(correction))
-                        if r.mode == "term":
-                            base = gain_terms(r, wl, joins)[0][2]
-                    except NoGain as e:
-                        terms, reason = None, str(e)
-                    record.append((r.name, {"terms": None if terms is None else [dict(zip(("lo", "hi", "gain"), t)) for t in terms],
-                                            "base": base, "reason": reason}))
-                keys.append(key)
-                maps.append(dict(record))
-            yield pd.DataFrame({"_key": keys, out: maps})
-
-    table = distinct.mapInPandas(compute, f"_key string, {out} {GAIN_TYPE}")
-    # count the layouts, not the gains: the count reads only the layout columns and computes nothing twice
-    few = distinct.limit(MAX_BROADCAST_LAYOUTS + 1).count() <= MAX_BROADCAST_LAYOUTS
-    return F.broadcast(table) if few else table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            rows = []
+            for key, start, step, size, joins, correction in pdf.itertuples(index=False):
+                wl = wt.grid(float(start), float(step), int(size))
+                joins = () if joins is None else tuple(map(float, joins))
+                own, blurs = noise.get(correction, {}).get("correlation_nm"), {}
+                for plain in (False, True):
+                    nm = [(r.functional, r.correlation_nm if plain or own is None else float(own)) for r in requests]
+                    got, problem = reading_gains(nm, wl, joins, () if plain else ops.get(correction, ()), blurs)
+                    parts: dict[int, list] = {}
+                    for i, s, g in got:
+                        parts.setdefault(i, []).append({"seg": s, "gain": g})
+                    rows += [(key, r.name, plain, parts.get(i, []), problem.get(i)) for i, r in enumerate(requests)]
+            yield pd.DataFrame(rows, columns=["_key", "reading", "plain", "gains", "problem"])
+
+    parts = layouts.where(fit & known).select("_key", "wl_start", "wl_step", "_n", "joins_nm", "_pick").mapInPandas(compute, _PART_TYPE)
+    pairs = parts.groupBy("_key", "reading").agg(*(F.max_by(c, ~F.col("plain")).alias(c) for c in ("gains", "problem")), F.max_by("gains", "plain").alias("bare"))
+    asked = [(r.name, r.mode, [(float(a), float(b)) for a, b in r.windows], float(r.factor),
+              {c: float(f) for c, d in noise.items() if (f := (d.get("ch_envelope_factors") or {}).get(r.own_factors)) is not None}) for r in requests]
+    asked = df.sparkSession.createDataFrame(asked, "reading string, mode string, windows array<struct<lo:double,hi:double>>, factor double, own map<string,double>")
+    names = F.array(*[F.lit(r.name) for r in requests])
+    every = layouts.withColumn("segs", F.when(fit, _segments(F.col("_n")))).withColumn("reading", F.explode(names))
+    rows = every.join(pairs, ["_key", "reading"], "left").join(F.broadcast(asked), "reading")      # as many rows as readings
+    window, reading, gains = F.get("windows", F.lit(0)), F.col("reading"), F.col("gains")
+    held = _holder(window)
+    of = lambda g, seg: F.get(F.filter(g, lambda x: x["seg"] == seg), F.lit(0))["gain"]
+    term = lambda w, g: F.struct(w["lo"].alias("lo"), w["hi"].alias("hi"), g.alias("gain"))
+    unavailable = lambda *what: F.concat(F.lit(f"{UNAVAILABLE} ("), reading, F.lit(": "), *what, F.lit(")"))
+    matched = F.transform(gains, lambda g: F.struct(F.get(F.filter("windows", lambda w: _holder(w) == g["seg"]), F.lit(0)).alias("w"), g.alias("g")))
+    alone = F.get(F.filter(matched, lambda x: x["w"].isNull()), F.lit(0))["g"]["seg"]
+    nm = lambda i: _plain(F.col("wl_start") + F.col("wl_step") * i)
+    covered = (F.col("wl_start") < window["lo"]) & (F.col("wl_start") + F.col("wl_step") * (F.col("_n") - 1) >= window["hi"])
+    the_window = F.concat(_plain(window["lo"]), F.lit("-"), _plain(window["hi"]), F.lit(" nm"))
+    pairing = F.col("mode") == "segments"
+    reason = F.coalesce(
+        F.when(~known, F.lit("unknown correction")),
+        F.when(~fit, F.lit(f"{UNAVAILABLE} (the scan has fewer than 3 grid points)")),
+        F.when(~pairing & held.isNull(), unavailable(F.lit("the N2 window "), the_window, F.when(covered, " is not inside one detector segment").otherwise(" is not covered by the scan"))),
+        F.col("problem"),
+        F.when(F.size(gains) == 0, unavailable(F.lit("no weight on the scan"))),
+        F.when(pairing & alone.isNotNull(), unavailable(F.lit("no noise window in the detector segment "), nm(F.get("segs", alone)["a"]), F.lit("-"), nm(F.get("segs", alone)["b"] - 1), F.lit(" nm"))),
+        F.when((F.col("mode") == "band") & (F.size(gains) != 1), unavailable(F.lit("its kernel spans more than one detector segment"))),
+        F.when(~pairing & of(gains, held).isNull(), unavailable(F.lit("no weight in the detector segment of the N2 window "), the_window)))
+    terms = F.when(pairing, F.transform(matched, lambda x: term(x["w"], x["g"]["gain"]))).otherwise(
+        F.array(term(window, of(gains, held) * F.coalesce(F.element_at("own", F.col("_pick")), F.col("factor")))))
+    rows = rows.select("_key", "reading", reason.alias("reason"), terms.alias("terms"), F.when((F.col("mode") == "term"), of(F.col("bare"), held) * F.col("factor")).alias("base"))
+    good = F.col("reason").isNull()
+    value = F.struct(F.when(good, F.col("terms")).alias("terms"), F.when(good, F.col("base")).alias("base"), "reason")
+    return rows.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("reading", value))).cast(GAIN_TYPE).alias(out))
 
 
 # ---------------------------------------------------------------------------------------------- what it means

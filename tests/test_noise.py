@@ -39,7 +39,9 @@ def test_gain_predicts_the_spread_of_noisy_readings(spark):
         X.append(base * 10 ** (-np.convolve(rng.standard_normal(2151 + 20), g, "valid") * 2e-5))
     f = R.band_functional("E:CH1728", KERNEL_E31, 1728.0, 2.0)
     for ops in ((), CORR[0]["operator"]):
-        gain = Z.gain_terms(Z.GainRequest("b", f, ((1500.0, 1600.0),)), WL, (1000.0, 1800.0), ops)[0][2]
+        got, problem = Z.reading_gains([(f, 1.25)], WL, (1000.0, 1800.0), ops)
+        ((_, seg, gain),) = got
+        assert not problem and seg == 1
         df = scans(spark, [row(f"s{i}", x) for i, x in enumerate(X)]).withColumn("correction_id", F.lit("hi" if ops else "none"))
         got = R.kernel_pass(df, [f], corrections=CORR).select(F.stddev(F.col("readings")["E:CH1728"])).first()[0]
         noise = np.mean([n2(x, WL, 1500, 1600) for x in X])
@@ -66,13 +68,11 @@ def test_gains_by_layout_and_reasons(spark):
     assert flags["a"] is True and flags["b"] is False and flags["c"] is False
 
 
-def test_many_layouts_take_the_salted_join(spark, monkeypatch):
+def test_many_layouts_join_back(spark):
     rows = [row(f"s{i}", spectrum(0), joins=(1000.0, 1780.0 + i % 3)) for i in range(9)]
     df = scans(spark, rows).withColumn("correction_id", F.lit("none"))
-    req = Z.statistic_requests(RULES)
-    want = by_id(Z.noise_gains(df, req, n=F.col("n")), "gains")
-    monkeypatch.setattr(Z, "MAX_BROADCAST_LAYOUTS", 1)
-    assert by_id(Z.noise_gains(df, req, n=F.col("n")), "gains") == want and len(want) == 9
+    got = by_id(Z.noise_gains(df, Z.statistic_requests(RULES), n=F.col("n")), "gains")
+    assert len(got) == 9 and got["s0"] == got["s3"]
 
 
 def test_consensus_sd_is_factor_times_median(spark):
@@ -88,5 +88,5 @@ def test_consensus_sd_is_factor_times_median(spark):
 
 def test_moment_rule():
     f = R.Functional("mean", 1e-6, ((1500.0, (0.5, 0.5)),), 0.0, ((1500.0, 1501.0),))
-    with pytest.raises(Z.NoGain, match="not a second-derivative reading"):
-        Z.segment_gains(f, WL, (1000.0, 1800.0))
+    got, problem = Z.reading_gains([(f, 1.25)], WL, (1000.0, 1800.0))
+    assert not got and "not a second-derivative reading" in problem[0]
