@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenscan.functions.text import natural_key
-from lumenscan.operators.sequencing import row_numbers
+from lumenscan.operators.sequencing import positions
 
 
 def promising_order(path: str = "path") -> list[Column]:
@@ -31,20 +31,19 @@ def order_natural(df: DataFrame, name: str = "file") -> DataFrame:
     return df.orderBy(natural_key(F.col(name)), F.col(name))
 
 
-def value_bucket(value: Column, lo: float = -10.0, hi: float = 40.0, parts: int = 512) -> Column:
-    """A bucket that never decreases as the value falls; unknown values come last."""
-    b = F.floor((F.lit(hi) - F.least(F.greatest(value, F.lit(lo)), F.lit(hi))) * (parts / (hi - lo)))
-    return F.when(value.isNull() | F.isnan(value), F.lit(parts + 1)).otherwise(F.least(b, F.lit(parts)).cast("int"))
+def newest_rank(df: DataFrame, seq: str = "arrived_seq", acquired: str = "acquired_at", path: str = "path", out: str = "rank") -> DataFrame:
+    """1-based position of every row in the order of `order_newest`."""
+    return positions(df, [F.col(seq).desc_nulls_last(), F.col(acquired).desc_nulls_last(), F.col(path).asc()], out=out)
 
 
-def promising_rank(df: DataFrame, folder: str = "folder", path: str = "path", out: str = "rank", **bucket) -> DataFrame:
-    """1-based rank in most-promising order over a whole folder, filters ignored.
+def natural_rank(df: DataFrame, name: str = "file", out: str = "rank") -> DataFrame:
+    """1-based position of every row in the order of `order_natural`."""
+    return positions(df.withColumn("_natural", natural_key(F.col(name))), [F.col("_natural"), F.col(name)], out=out).drop("_natural")
 
-    The folder is cut by verdict group, penalty and value range, so a folder with a third of all scans is still
-    ranked by many tasks.
-    """
-    cut = F.struct(F.col("sort_group").alias("g"), F.coalesce(F.col("sort_penalty"), F.lit(0)).alias("p"), value_bucket(F.col("sort_value"), **bucket).alias("v"))
-    return row_numbers(df, [folder], cut, promising_order(path), out)
+
+def promising_rank(df: DataFrame, folder: str = "folder", path: str = "path", out: str = "rank") -> DataFrame:
+    """1-based rank in most-promising order over a whole folder, filters ignored; scans without a value come last of their group."""
+    return positions(df, promising_order(path), [folder], out)
 
 
 def organic_only(df: DataFrame, level: str = "level") -> DataFrame:

@@ -6,6 +6,9 @@ the little that crosses buckets (a count, a last value) is carried by a window o
 """
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +29,36 @@ def row_numbers(df: DataFrame, keys: list[str], bucket: Column, order: list[Colu
     return joined.withColumn(out, (F.col(out) + F.col("_before")).cast("bigint")).drop("_b", "_before")
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` written once to the cluster's checkpoint folder. A session without one (a local test) gets a folder of its own."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    return df.checkpoint()
+
+
+def positions(df: DataFrame, order: list[Column], keys: list[str] = (), out: str = "rank") -> DataFrame:
+    """1-based position in ``order`` within each of ``keys`` (over all rows without keys).
+
+    Rows are dealt by ranges of (keys, order) that Spark takes from the data, so neither a large key nor many equal or unknown
+    values meet in one task; what crosses tasks is one count per task. The sorted rows are written once, because the ranges
+    must be the same when they are counted and when they are numbered.
+    """
+    by = [F.col(k) for k in keys] + list(order)
+    place = F.monotonically_increasing_id()
+    rows = held(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", place))
+    task, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(task.alias("_t")).agg(F.count("*").alias("_n"))
+    before = counts.select("_t", F.coalesce(F.sum("_n").over(W.orderBy("_t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_t", task).join(F.broadcast(before), "_t").withColumn(out, F.col("_before") + within + 1)      # one row per task
+    if keys:
+        first = rows.groupBy(*keys).agg(F.min(out).alias("_first")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first")
+        same = [rows[k].eqNullSafe(first[f"_k{i}"]) for i, k in enumerate(keys)]
+        rows = rows.join(first, reduce(lambda a, b: a & b, same)).withColumn(out, F.col(out) - F.col("_first") + 1)
+        rows = rows.drop("_first", *[f"_k{i}" for i in range(len(keys))])
+    return rows.drop("_t", "_at", "_before")
+
+
 def change_counts(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: str,
                   out: str = "revision") -> DataFrame:
     """1-based count of value changes so far per key in ``order`` (the first row of a key is revision 1)."""

@@ -111,9 +111,9 @@ QUERIES["range_stats_long"] = (lambda spark, sf: (lambda d: d.select("vec_id", *
     Q.range_stats_long(S.to_long(spectra(spark, sf), ["vec_id"]), 360.0, 405.0, "vec_id")), QUERIES["range_stats"][1])
 
 
-@query("second_difference", with_() + f"""SELECT * FROM (SELECT vec_id, ch, {q6('lag(r) OVER w - 2e0 * r + lead(r) OVER w')} AS value FROM L WINDOW w AS (PARTITION BY vec_id ORDER BY ch)) WHERE value IS NOT NULL""")
+@query("second_difference", with_() + f"""SELECT vec_id, ch, {q6('lag(r) OVER w - 2e0 * r + lead(r) OVER w')} AS value FROM L WINDOW w AS (PARTITION BY vec_id ORDER BY ch)""")
 def _second_difference(spark, sf):
-    d = S.second_difference(S.to_long(spectra(spark, sf), ["vec_id"]), "vec_id").where("d2 is not null")
+    d = S.second_difference(S.to_long(spectra(spark, sf), ["vec_id"]), "vec_id")
     return d.select("vec_id", "ch", r6(F.col("d2")).alias("value"))
 
 
@@ -168,10 +168,10 @@ def _savgol_long(spark, sf):
 _C7 = [float(x) for x in wt.savgol_weights(7, 2, 0)]
 
 
-@query("moving_weighted", with_() + "SELECT * FROM (SELECT vec_id, ch, " + q6(" + ".join(f"{lit(c)} * lag(r, {3 - k}) OVER w" for k, c in enumerate(_C7)))
-       + " AS value FROM L WINDOW w AS (PARTITION BY vec_id ORDER BY ch)) WHERE value IS NOT NULL")
+@query("moving_weighted", with_() + "SELECT vec_id, ch, " + q6(" + ".join(f"{lit(c)} * lag(r, {3 - k}) OVER w" for k, c in enumerate(_C7)))
+       + " AS value FROM L WINDOW w AS (PARTITION BY vec_id ORDER BY ch)")
 def _moving(spark, sf):
-    d = S.moving_weighted(S.to_long(spectra(spark, sf), ["vec_id"]), _C7, "vec_id").where("smoothed is not null")
+    d = S.moving_weighted(S.to_long(spectra(spark, sf), ["vec_id"]), _C7, "vec_id")
     return d.select("vec_id", "ch", r6(F.col("smoothed")).alias("value"))
 
 
@@ -244,13 +244,14 @@ _REF = [0.2 + 0.01 * i for i in range(64)]
 
 
 @query("msc", with_("f AS (SELECT vec_id, regr_slope(r, 0.2e0 + 0.01e0 * ch) AS b, regr_intercept(r, 0.2e0 + 0.01e0 * ch) AS a FROM L GROUP BY vec_id)") + """
-SELECT vec_id, ch, round((r - a) / b, 4) + 0e0 AS value FROM L JOIN f USING (vec_id) WHERE abs(b) > 1e-3""")
+SELECT vec_id, ch, CASE WHEN abs(b) > 1e-3 THEN round((r - a) / b, 6) + 0e0 END AS value FROM L JOIN f USING (vec_id)""")
 def _msc(spark, sf):
     ref = np.array(_REF)
     d = spectra(spark, sf)
     slope = A.dot(F.col("r"), [float(v) for v in (ref - ref.mean()) / ((ref - ref.mean()) @ (ref - ref.mean()))])
-    d = S.msc(d.withColumn("b", slope), _REF).where(F.abs("b") > 1e-3)
-    return d.select("vec_id", F.posexplode("r").alias("ch", "v")).select("vec_id", "ch", (F.round("v", 4) + F.lit(0.0)).alias("value"))
+    d = S.msc(d.withColumn("b", slope), _REF)
+    # a scan that does not follow the reference has no corrected values, but keeps its rows
+    return d.select("vec_id", "b", F.posexplode("r").alias("ch", "v")).select("vec_id", "ch", F.when(F.abs("b") > 1e-3, r6(F.col("v"))).alias("value"))
 
 
 _G, _O = [1.0, 1.1, 0.9], [0.0, 0.02, -0.01]
@@ -747,9 +748,7 @@ def _ole(spark, sf):
 @query("natural_order", """SELECT p_partkey, row_number() OVER (ORDER BY p_partkey // 100, p_partkey % 100) AS pos FROM part""")
 def _natural(spark, sf):
     name = F.concat(F.lit("Scan"), F.floor(F.col("p_partkey") / 100).cast("string"), F.lit("_"), (F.col("p_partkey") % 100).cast("string"), F.lit(".asd"))
-    p = table(spark, sf, "part").select("p_partkey", X.natural_key(name).alias("k"))
-    # one collection, cut by the natural order's own leading digits so that no task holds it all
-    return SQ.row_numbers(p.withColumn("all", F.lit(1)), ["all"], F.substring("k", 1, 12), [F.col("k")], "pos").select("p_partkey", "pos")
+    return RK.natural_rank(table(spark, sf, "part").select("p_partkey", name.alias("file")), out="pos").select("p_partkey", "pos")
 
 
 @query("flatten_long", """SELECT event_id, unnest(['event_type', 'nested.user', 'nested.v.n', 'nested.v.0', 'nested.v.1']) AS key, unnest([event_type, user_id::VARCHAR, '2', (event_id % 5)::VARCHAR, (event_id % 3)::VARCHAR]) AS value FROM events""")

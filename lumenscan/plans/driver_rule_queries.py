@@ -74,7 +74,7 @@ def _effective(spark, sf):
 _NAMES = ["a.asd", "B.ASD", "c.001", "d.sco", ".e.asd", "~f.asd", "g.tmp.asd", "h.part.sco", "i.txt", "asd", "j.12"]
 
 
-@query("candidate_files", "WITH n AS (SELECT doc_id, n_chars, list_extract(['a.asd','B.ASD','c.001','d.sco','.e.asd','~f.asd','g.tmp.asd','h.part.sco','i.txt','asd','j.12'], (doc_id % 11 + 1)::INT) AS f FROM documents) SELECT doc_id, f FROM n WHERE doc_id % 11 < 4 AND n_chars <= 16777216")
+@query("candidate_files", "WITH n AS (SELECT doc_id, n_chars, list_extract(['a.asd','B.ASD','c.001','d.sco','.e.asd','~f.asd','g.tmp.asd','h.part.sco','i.txt','asd','j.12'], (doc_id % 11 + 1)::INT) AS f FROM documents) SELECT doc_id, f FROM n WHERE doc_id % 11 < 4")
 def _candidates(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/x/"), F.element_at(F.lit(_NAMES), (F.col("doc_id") % 11 + 1).cast("int"))).alias("path"), F.col("n_chars").alias("length"))
     return candidate_files(d).select("doc_id", X.file_name(F.col("path")).alias("f"))
@@ -354,10 +354,10 @@ def _technical(spark, sf):
     return EX.technical_table(o, "zooms")
 
 
-@query("newest_first", "SELECT event_id, ts FROM (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events ORDER BY events.ts DESC, event_id LIMIT 100)")
+@query("newest_first", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, row_number() OVER (ORDER BY events.ts DESC, event_id) AS pos FROM events")
 def _newest(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", F.lit(None).cast("bigint").alias("arrived_seq"))
-    return RK.order_newest(e, acquired="ts", path="event_id").limit(100).select("event_id", F.substring(F.col("ts").cast("string"), 1, 19).alias("ts"))
+    return RK.newest_rank(e, acquired="ts", path="event_id", out="pos").select("event_id", F.substring(F.col("ts").cast("string"), 1, 19).alias("ts"), "pos")
 
 
 @query("version_bump", "SELECT p_partkey, (p_size + 1) || '.0.0' AS major, p_size || '.' || (p_partkey % 9 + 1) || '.0' AS minor, p_size || '.' || (p_partkey % 9) || '.4' AS patch FROM part")

@@ -55,8 +55,16 @@ def candidate(name: Column) -> Column:
     return F.rlike(name, F.lit(CANDIDATE)) & ~F.rlike(name, F.lit(TEMPORARY))
 
 
-def candidate_files(df: DataFrame, path: str = "path", length: str = "length") -> DataFrame:
-    return df.where(candidate(file_name(F.col(path))) & (F.col(length) <= MAX_FILE_BYTES))
+def candidate_files(df: DataFrame, path: str = "path") -> DataFrame:
+    return df.where(candidate(file_name(F.col(path))))
+
+
+def without_large_content(files: DataFrame) -> DataFrame:
+    """The same rows, but files above the limit come without content, which is then not read at all; `interpret` says why."""
+    if "content" not in files.columns:
+        return files
+    large = files.where(F.col("length") > MAX_FILE_BYTES).drop("content").withColumn("content", F.lit(None).cast("binary"))
+    return files.where(F.col("length") <= MAX_FILE_BYTES).unionByName(large)
 
 
 def drop_shadowed(df: DataFrame, path: str = "path") -> DataFrame:
@@ -131,6 +139,9 @@ def interpret(decoded: DataFrame) -> DataFrame:
     """Decoded files as scans: joins, kind, reflectance, clocks and the first reason a file is not supported."""
     df = Q.resolve_joins(decoded)
     df = Q.classify_kind(Q.accept(df))
+    if "length" in df.columns:
+        large = F.when(F.col("length") > MAX_FILE_BYTES, F.lit(f"unsupported: larger than {MAX_FILE_BYTES >> 20} MiB"))
+        df = df.withColumn("decode_error", F.coalesce(large, "decode_error"))
     df = df.withColumn("reject_reason", F.coalesce("decode_error", "reject_reason"))
     ratio = F.zip_with("sample_dn", "reference_dn", lambda s, w: F.try_divide(s, w))
     when = D.tm_to_timestamp(*[F.col(f"when_{k}") for k in ("sec", "min", "hour", "mday", "mon", "year")])
@@ -146,8 +157,8 @@ def interpret(decoded: DataFrame) -> DataFrame:
 def scan_content(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Candidate files with their content, without shadowed ones. Only ``.sco`` files can be shadowed, so only they are
     compared with the listing; the bytes of all other files never meet a join."""
-    plain = candidate_files(list_files(spark, path, recursive, PLAIN_GLOB))
-    copies = candidate_files(list_files(spark, path, recursive, SCO_GLOB))
+    plain = without_large_content(candidate_files(list_files(spark, path, recursive, PLAIN_GLOB)))
+    copies = without_large_content(candidate_files(list_files(spark, path, recursive, SCO_GLOB)))
     sources = plain.select(F.col("path").alias("_src"))
     target = F.expr("substring(path, 1, length(path) - 4)")
     shadowed = copies.select("path", target.alias("_src")).join(sources, "_src", "left_semi").select("path")

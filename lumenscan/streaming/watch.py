@@ -28,12 +28,14 @@ def stream_scans(spark: SparkSession, path: str, include_existing: bool = True,
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     df = reader.load(path)
-    df = df.where(candidate(file_name(F.col("path"))) & (F.col("length") <= MAX_FILE_BYTES))
+    df = df.where(candidate(file_name(F.col("path"))))
     if not include_existing:
         if since is None:
             raise ValueError("give the time to watch from when existing files are left out")
         df = df.where(F.col("modificationTime") > F.lit(since))
-    return df.withColumns({"file_sha256": F.sha2("content", 256), "shape": file_shape(F.col("content"))})
+    large = F.struct(F.lit("unrecognised").alias("state"), F.lit(f"larger than {MAX_FILE_BYTES >> 20} MiB").alias("reason"))
+    shape = F.when(F.col("length") > MAX_FILE_BYTES, large).otherwise(file_shape(F.col("content")))
+    return df.withColumns({"file_sha256": F.sha2("content", 256), "shape": shape})
 
 
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +53,7 @@ def dedupe_arrivals(df: DataFrame, delay: str = "1 day", time: str = "modificati
 
 def same_content(arrivals: DataFrame, log: DataFrame) -> DataFrame:
     """``same_content_as``: the first logged path that holds the same bytes elsewhere."""
-    known = log.groupBy(F.col("input_sha256").alias("file_sha256")).agg(F.min("path").alias("_first"))
+    known = log.groupBy(F.col("input_sha256").alias("file_sha256")).agg(F.min_by("path", F.struct("logged_at", "path")).alias("_first"))
     joined = arrivals.join(known, "file_sha256", "left")
     return joined.withColumn("same_content_as", F.when(F.col("_first") != F.col("path"), F.col("_first"))).drop("_first")
 
