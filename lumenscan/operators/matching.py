@@ -23,7 +23,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------- instruments
 def serial_table(spark: SparkSession, instruments: dict = INSTRUMENTS) -> DataFrame:
-    rows = [(int(s), c["class"]) for c in instruments["classes"] for s in c["serials"]]
+    listed: dict[int, str] = {}         # one row per serial: the class that lists it first
+    for c in instruments["classes"]:
+        for s in c["serials"]:
+            listed.setdefault(int(s), c["class"])
+    rows = list(listed.items())
     return spark.createDataFrame(rows, "serial bigint, serial_class string")
 
 

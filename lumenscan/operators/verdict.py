@@ -322,9 +322,10 @@ def override_verdict(df: DataFrame, profile: dict, verdict: str = "verdict", unc
         profile, F.coalesce(F.col(uncalibrated), F.lit(False))))).otherwise(v))
 
 
-def rejected_verdict(reason: Column, checks: Column) -> Column:
-    """Verdict of a scan that is not scored: unsupported or rejected input (B1), or unusable by its checks."""
-    return (F.when(reason.startswith("unsupported"), verdict_struct("Unsupported", "B1"))
+def rejected_verdict(reason: Column, checks: Column, listed_only: Column | None = None) -> Column:
+    """Verdict of a scan that is not scored: unsupported or rejected input or a saved reference (B1), or unusable by its checks."""
+    listed = F.lit(False) if listed_only is None else listed_only
+    return (F.when(reason.startswith("unsupported"), verdict_struct("Unsupported", "B1")).when(listed, verdict_struct("Not scored", "B1"))
             .when(reason.isNotNull(), verdict_struct("Rescan", "B1"))
             .otherwise(verdict_struct("Rescan", F.array_join(checks, "+"))))
 

@@ -5,6 +5,8 @@ The only shuffles are the distinct layouts (tiny) and whatever order the caller
 """
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -45,8 +47,18 @@ class Screening:
         return [s for s in M.union_specs(list(self.profiles.values())) if s["model_id"] in self.models]
 
     def dependencies(self) -> dict[str, str]:
-        docs = [*self.models.values(), *self.corrections]
-        return {f"{d['id']}@{d.get('version')}": str(d.get("sha256", "")) for d in docs}
+        """Everything a result depends on besides its scan, as content hashes: each document by name, and the tables and
+        rules by what they hold. A changed cut, weight or document body gives another key."""
+        out = {f"{d['id']}@{d.get('version')}": digest({k: v for k, v in d.items() if k != "origin"}) for d in [*self.models.values(), *self.corrections]}
+        for name in ("profiles", "rules", "bands", "projections", "instruments", "prototypes", "prototypes_truncated", "consensus_factors", "recorded_gains", "no_b6", "target", "check_input"):
+            out[name] = digest(getattr(self, name))
+        return out
+
+
+def digest(value) -> str:
+    """SHA-256 of parameters as JSON with sorted keys; arrays as lists."""
+    plain = lambda v: v.tolist() if hasattr(v, "tolist") else sorted(v) if isinstance(v, (set, frozenset)) else str(v)
+    return hashlib.sha256(json.dumps(value, sort_keys=True, default=plain).encode()).hexdigest()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -71,6 +83,11 @@ def score(scans: DataFrame, cfg: Screening) -> DataFrame:
     grid_reason = Q.accept_spectrum(F.col("n_ch"), rules["acquisition"]) if cfg.check_input else F.lit(None).cast("string")
     df = df.withColumn("reject_reason", F.coalesce(own, grid_reason))
 
+    if has("format") and has("joins_source"):       # a decoded file: what wrote it decides its class
+        df = M.effective_class(df, cfg.instruments)
+    not_sample = F.coalesce(F.col("kind") != "sample", F.lit(False)) if has("kind") else F.lit(False)
+    df = df.withColumn("listed_only", not_sample & F.col("reject_reason").isNull())
+
     # which correction, and the noise gains of its layout: keyed lookups only, no spectrum is read for them
     df = M.pick_correction(df, M.correction_table(spark, cfg.corrections), cfg.target)
     if not has("serial_class"):
@@ -84,7 +101,7 @@ def score(scans: DataFrame, cfg: Screening) -> DataFrame:
     df = Q.acquisition(df, rules["acquisition"], "r", "sample_dn" if has("sample_dn") else None)
     df = Z.n2(df, tuple(Z.n2_windows_for(requests)))
     df = df.withColumn("unusable", Q.unusable())
-    skip = F.col("reject_reason").isNotNull() | (F.size("unusable") > 0)
+    skip = F.col("reject_reason").isNotNull() | F.col("listed_only") | (F.size("unusable") > 0)
     df = df.withColumns({"scored": ~skip, "r": F.when(~skip, F.col("r"))})
 
     # one kernel pass through the picked correction
@@ -206,7 +223,7 @@ def _profile(df: DataFrame, name: str, profile: dict, cfg: Screening) -> DataFra
         shown = M.model_shown(second, F.col("native"), F.col("class"))
         value = F.when(shown, N.finite(F.col("models")[second["model_id"]]["value"]))
         df = V.second_opinion(df, profile, value, gap=_gap(cfg))
-    df = df.withColumn("verdict", F.when(F.col("scored"), F.col("verdict")).otherwise(V.rejected_verdict(F.col("reject_reason"), F.col("unusable"))))
+    df = df.withColumn("verdict", F.when(F.col("scored"), F.col("verdict")).otherwise(V.rejected_verdict(F.col("reject_reason"), F.col("unusable"), F.col("listed_only"))))
     for c in ("m", "m_sd"):
         df = df.withColumn(c, F.when(F.col("scored"), F.col(c)))
     df = V.sort_key(df, profile, S=F.when(F.col("scored"), F.col("evidence.S")))

@@ -117,3 +117,20 @@ def test_readable_and_technical_tables(spark, run):
     assert row["n2.2000-2100"] == got["std"].n2["2000-2100"]
     log = log_records(one.withColumns({"path": F.col("scan_id"), "input_sha256": F.sha2("scan_id", 256), "class_source": F.lit("user")}), "e", {"m": "1"})
     assert log.select("result_key").distinct().count() == 3
+
+
+def test_saved_references_are_listed_not_scored(run):
+    _, df, cfg, got = run
+    two = df.where("scan_id IN ('std', 'hires')").withColumn("kind", F.when(F.col("scan_id") == "std", F.lit("white_reference_save")).otherwise(F.lit("sample")))
+    res = {r.scan_id: r.verdict for r in score(two, cfg).select("scan_id", "verdict").collect()}
+    assert (res["std"].verdict, res["std"].rule_step) == ("Not scored", "B1") and res["hires"].verdict == got["hires"].verdict.verdict
+
+
+def test_every_part_of_the_configuration_counts_in_the_result_key(run):
+    _, _, cfg, _ = run
+    base = cfg.dependencies()
+    rules = {**cfg.rules, "acquisition": {**cfg.rules["acquisition"], "some_cut": 1}}
+    model = next(iter(cfg.models.values()))
+    changed = [replace(cfg, rules=rules), replace(cfg, profiles={}), replace(cfg, models={**cfg.models, model["id"]: {**model, "note": "x"}}), replace(cfg, bands={}), replace(cfg, target="other")]
+    assert cfg.dependencies() == base == replace(cfg).dependencies()
+    assert all(c.dependencies() != base for c in changed)
