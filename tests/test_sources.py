@@ -120,15 +120,23 @@ def test_parameters_and_validation(spark, tmp_path):
     assert VD.replay_cases(spark, wrong, spectra).where("problem = 'out of tolerance'").count() == 3
 
 
-def test_snv_rules():
+def test_snv_rules(spark):
     m = small_model(engine_min="1.1", preprocessing=[{"op": "absorbance"}, {"op": "savgol", "window": 31, "polyorder": 3}, {"op": "snv", "blocks_nm": [[1500, 1550]]}], features={"wavelengths_nm": [1510.0, 1700.0]})
-    bad = lambda doc: {r for r, ok, _ in VD.snv_rules(doc) if not ok}
+    rules = lambda doc: VD.block_snv_rules(spark.createDataFrame([("f", "model", json.dumps(doc))], "path string, format string, doc string")).collect()
+    bad = lambda doc: {r.rule for r in rules(doc) if not r.ok}
     assert bad(m) == {"snv_features"}
     m["preprocessing"][2]["blocks_nm"] = [[360, 1800]]
     assert bad(m) == {"snv_edges"}
     m["instrument"]["training_splices_nm"] = [1000.0]
     m["engine_min"] = "1.0"
     assert bad(m) == {"snv_edges", "snv_joins", "snv_engine"}
+    for blocks in ([], [[1550, 1500]], [[1500, 1550], [1540, 1600]]):
+        m["preprocessing"][2]["blocks_nm"] = blocks
+        assert bad(m) == {"snv_blocks"}
+    m["preprocessing"] = [{"op": "savgol", "window": 31, "polyorder": 3, "mode": "valid"}, {"op": "crop", "range_nm": [400, 900]}, {"op": "snv", "blocks_nm": [[366, 500]]}, {"op": "absorbance"}]
+    assert bad(m) == {"snv_engine", "snv_last", "snv_grid", "snv_features"}
+    m["preprocessing"] = [{"op": "savgol", "window": 31, "polyorder": 3}, {"op": "resample", "to_grid": {"start_nm": 1400, "step_nm": 2, "n": 201}}, {"op": "snv", "blocks_nm": [[1400, 1800]]}]
+    assert bad(m) == {"snv_engine"}
 
 
 def test_views(spark):
