@@ -84,16 +84,38 @@ def bone_spec(prototypes, truncated, rules: dict = RULES) -> list:
 
 
 # ---------------------------------------------------------------------------------------------- noise gates
+def uncorrected_gate(gate: dict, sign: str) -> tuple[tuple[float, float], float] | None:
+    """(N2 window, highest N2) at which a sign is read as measured; None: at any noise. A rule without a table of its own
+    for the signs has one window and cut for all."""
+    if "uncorrected" not in gate:
+        return tuple(gate["n2_window_nm"]), gate["uncorrected_n2_above"]
+    own = gate["uncorrected"].get(sign)
+    return None if own is None else (tuple(own["n2_window_nm"]), own["n2_above"])
+
+
+def gate_windows(rules: dict = RULES) -> list[tuple[float, float]]:
+    """The N2 windows that the gates read on scans as measured."""
+    g = rules["acquisition"]["B6b_signs_gate"]
+    return list(dict.fromkeys([tuple(g["n2_window_nm"]), *(e[0] for s in g["signs"] if (e := uncorrected_gate(g, s)))]))
+
+
+def _measured_gate(gate: dict, sign: str, n: Column) -> Column:
+    own = uncorrected_gate(gate, sign)
+    if own is None:
+        return _null("string")
+    (lo, hi), most = own
+    return (F.when(~window_covered(n, lo, hi), F.lit(f"{UNAVAILABLE} (the N2 window {lo:g}-{hi:g} nm is not covered by the scan)"))
+            .when(N.gt(F.col("n2")[window_name(lo, hi)], most), F.lit(f"noise in {lo:g}-{hi:g} nm")))
+
+
 def check_gates(df: DataFrame, rules: dict = RULES, n: str = "n_ch", near: str = "near", pick: str = "correction_id",
                 out: str = "b6b") -> DataFrame:
     """Which signs are too noisy to check. As measured, or through a near-uncorrected correction: N2 of the sign's
-    window above one cut. Through any other correction: the SD of the sign's own statistic above its cut, with a
+    window above the sign's cut. Through any other correction: the SD of the sign's own statistic above its cut, with a
     reduced form for some signs when that form's SD is low enough."""
     g = rules["acquisition"]["B6b_signs_gate"]
     measured = F.col(pick).isNull() | (F.col(pick) == "none") | F.coalesce(F.col(near), F.lit(False))
     lo, hi = g["n2_window_nm"]
-    table = (F.when(~window_covered(F.col(n), lo, hi), F.lit(f"{UNAVAILABLE} (the N2 window {lo}-{hi} nm is not covered by the scan)"))
-             .when(N.gt(F.col("n2")[window_name(lo, hi)], g["uncorrected_n2_above"]), F.lit(f"noise in {lo}-{hi} nm")))
     gates, reduced = {}, {}
     for s in g["signs"]:
         e = g["corrected"].get(s)
@@ -103,7 +125,7 @@ def check_gates(df: DataFrame, rules: dict = RULES, n: str = "n_ch", near: str =
             why = F.col("gains")[f"gate:{s}"]["reason"]
             corrected = (F.when(why.isNotNull(), unavailable(why))
                          .when(N.gt(term_sd(f"gate:{s}"), e["sd_above"]), F.lit("noise in {}-{} nm".format(*e["n2_window_nm"]))))
-        gates[s] = F.when(measured, table).otherwise(corrected)
+        gates[s] = F.when(measured, _measured_gate(g, s, F.col(n))).otherwise(corrected)
     for s, f in g["fallbacks"].items():
         reduced[s] = F.when(~measured & gates[s].isNotNull() & ~gates[s].startswith(UNAVAILABLE)
                             & N.le(term_sd(f"fallback:{s}"), f["sd_at_most"]), F.lit(f["variant"]))

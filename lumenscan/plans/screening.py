@@ -99,7 +99,7 @@ def score(scans: DataFrame, cfg: Screening) -> DataFrame:
 
     # as measured: quality and noise, in the JVM
     df = Q.acquisition(df, rules["acquisition"], "r", "sample_dn" if has("sample_dn") else None)
-    df = Z.n2(df, tuple(Z.n2_windows_for(requests)))
+    df = Z.n2(df, tuple(dict.fromkeys([*map(tuple, Z.n2_windows_for(requests)), *K.gate_windows(rules)])))
     df = df.withColumn("unusable", Q.unusable())
     skip = F.col("reject_reason").isNotNull() | F.col("listed_only") | (F.size("unusable") > 0)
     df = df.withColumns({"scored": ~skip, "r": F.when(~skip, F.col("r"))})

@@ -131,8 +131,8 @@ def load_params(spark: SparkSession, paths: list[str], pins: dict[str, str] | No
             out.reference_levels = [{"label": lv["label"], "absorbance": lv["absorbance"], "n": lv.get("n")} for lv in d["levels"]]
     gate = out.rules["acquisition"].get("B6b_signs_gate", {})
     own = gate.get("uncorrected")
-    if own:
-        gate["uncorrected_n2_above"] = float(next(iter(own.values()))["n2_above"])
+    if own:         # the acquisition report shows one cut: the lowest of the signs'
+        gate["uncorrected_n2_above"] = min(float(e["n2_above"]) for e in own.values() if e)
     for key in ("default_joins_nm", "join_jump_clear", "join_jump_min"):
         out.rules["acquisition"].setdefault(key, RULES["acquisition"][key])
     for key in ("B8_splice_step", "B2_saturation"):

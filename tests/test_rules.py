@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenscan.functions import text as X
 from lumenscan.operators import checks as K
 from lumenscan.operators import verdict as V
-from lumenscan.rulebook import BANDS, PROFILE_COLLAGEN, PROFILE_ZOOMS
+from lumenscan.rulebook import BANDS, PROFILE_COLLAGEN, PROFILE_ZOOMS, RULES
 from conftest import by_id
 
 SEVEN = list(BANDS)
@@ -192,6 +192,14 @@ def test_noise_gates_and_longwave(spark):
     assert {k: (v.status.state, v.tail_unreliable, v.tail_unreliable_c1) for k, v in lw.items()} == {"native": ("not assessed", False, False), "quiet": ("assessed", False, False), "b9": ("assessed", True, False), "both": ("assessed", True, True), "off": ("not assessed", True, True)}
 
 
+def test_gates_of_each_sign_as_measured(spark):
+    gate = {**RULES["acquisition"]["B6b_signs_gate"], "uncorrected": {"plaster": {"n2_window_nm": [2000, 2100], "n2_above": 9.0}, "wax": {"n2_window_nm": [1500, 1600], "n2_above": 60.0}, "burnt": None}}
+    rules = {**RULES, "acquisition": {**RULES["acquisition"], "B6b_signs_gate": gate}}
+    got = by_id(K.check_gates(gate_rows(spark, {"a": {}}), rules), "b6b")["a"]
+    assert got.signs_gated == ["plaster"] and got.gates.wax is None and got.gates.ester is None and got.gates.burnt is None
+    assert set(K.gate_windows(rules)) == {(2000, 2100), (1500, 1600)}
+
+
 def test_cut_noise(spark):
     st = F.struct(F.lit("assessed").alias("state"), F.lit(None).cast("string").alias("reason"))
     b6 = lambda v, sd, applies=True: K.check_cut_noise(F.lit(v).cast("double"), F.lit(sd).cast("double"), st, F.lit(applies))

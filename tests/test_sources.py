@@ -72,6 +72,13 @@ def test_scan_report_keeps_every_file(spark, folder):
     assert rep["white.asd"].checks[2].status.reason == "reference scan (not scored)" and rep["a.asd"].worst_outcome in ("Pass", "Note")
 
 
+def test_large_files_keep_their_row(spark, folder, monkeypatch):
+    monkeypatch.setattr(SF, "MAX_FILE_BYTES", 20_000)
+    got = {r.file: r for r in SF.read_scans(spark, str(folder)).select("file", "reject_reason", "r").collect()}
+    assert got["a.asd"].reject_reason == "unsupported: larger than 0 MiB" and got["a.asd"].r is None
+    assert got["c.001"].reject_reason is None and "c.001.sco" not in got and "alone.sco" in got
+
+
 def test_file_shapes(spark):
     full = scan_bytes(spectrum(0))
     cases = {"ok": full, "short": b"a", "zero": b"\0" * 600, "odd": b"PK" * 400, "head": full[:400], "block": full[:5000], "ref": full[:-10], "zeroref": full[:-17208] + b"\0" * 17208, "legacy": scan_bytes(spectrum(0), b"ASD")}
