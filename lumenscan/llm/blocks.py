@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE = 1 << 21  # bytes of text hashed at once; temporaries take some 40 times that
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
@@ -70,7 +70,7 @@ def _cuts(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     while at < n:
         end = min(n, at + size)
         while end < n:
-            gap = np.flatnonzero(_SPACE[data[end - 1:end - 1 + size]])
+            gap = np.flatnonzero(SPACE[data[end - 1:end - 1 + size]])
             if len(gap):
                 end += int(gap[0])
                 break
@@ -90,7 +90,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, spans: boo
         piece = data[a:b]
         n = len(piece)
         power, inverse = _powers(max(n, SLICE))
-        solid = ~_SPACE[piece]
+        solid = ~SPACE[piece]
         edge = np.zeros(n + 1, dtype=bool)
         lo, hi = np.searchsorted(offsets, (a, b))
         edge[offsets[lo:hi] - a] = True
@@ -117,6 +117,21 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, spans: boo
     return out + (cat(ss, np.int64), cat(es, np.int64)) if spans else out
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end] for ascending spans; the data is read in slices of whole spans."""
+    out, k = np.empty(len(start), np.uint64), 0
+    while k < len(start):
+        z = max(k + 1, int(np.searchsorted(end, start[k] + SLICE, side="right")))
+        a, b = int(start[k]), int(end[z - 1])
+        power, inverse = _powers(max(b - a, SLICE))
+        total = np.empty(b - a + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_BYTES[data[a:b]] * power[:b - a], out=total[1:])
+        out[k:z] = mix((total[end[k:z] - a] - total[start[k:z] - a]) * inverse[start[k:z] - a])
+        k = z
+    return out
+
+
 def run_starts(sorted_values: np.ndarray) -> np.ndarray:
     """Positions at which a new value begins."""
     if len(sorted_values) == 0:

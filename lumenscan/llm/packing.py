@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenscan.llm.blocks import crc
-from lumenscan.llm.vocab import ByteLevelIds, held, read_vocabulary, slices
+from lumenscan.llm.blocks import crc, row_groups, text_bytes
+from lumenscan.llm.vocab import SLICE, ByteLevelIds, held, read_vocabulary
 
 WINDOW, GROUP, ITEM, FINE, SLACK = 2048, 32, 512, 16, 16
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -139,11 +139,11 @@ def pack_batches(batches, vocabulary: str, end_id: int, packer: Callable[[], Pac
                                           [f.split()[0] for f in SCHEMA.split(", ")])
 
     for b in batches:
-        ids, k = b.column(0).to_pylist(), 0
-        for texts in slices(x.as_py() or b"" for x in b.column(1)):
-            for e in coder.texts(texts):
-                rows.extend(p.add(ids[k], e + end))
-                k += 1
+        doc, (data, off) = b.column(0).to_pylist(), text_bytes(b.column(1))
+        for lo, hi in row_groups(off, SLICE):
+            ids, cut = coder.rows(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
+            for k in range(lo, hi):
+                rows.extend(p.add(doc[k], ids[cut[k - lo]:cut[k - lo + 1]].tobytes() + end))
             if len(rows) >= _ROWS:
                 yield flush()
     rows.extend(p.end())

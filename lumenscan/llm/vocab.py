@@ -1,17 +1,21 @@
 """Tokenizer files as text (shipped to the executors, which need not hold them) and per-process caches of word encodings."""
 from __future__ import annotations
 
+import array
 import hashlib
 import os
 import re
 from collections.abc import Callable, Iterable
 from itertools import chain
 
+import numpy as np
+
+from lumenscan.llm.blocks import SPACE, span_hashes
+
 # White space that the word split below does not cut at; a text that holds any of it is encoded whole.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-# White space goes with the word behind it: no token of the byte-level pattern spans such a border.
-_WORDS = re.compile(rb"[\x09-\x0d\x20]*[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+")
-CACHE = 250_000     # encodings of words that a process keeps
+_CONTROL = re.compile(rb"[\x1c-\x1f]")
+CACHE = 600_000     # encodings of words that a process keeps
 SLICE = 1 << 22     # bytes of text whose unknown words are encoded in one call
 
 
@@ -59,8 +63,27 @@ class Layered(dict):
         return self.below[key]
 
 
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b".,;:!?")] = True
+_SURE = np.zeros(256, bool)         # ASCII letters and digits
+_SURE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the text can be cut without changing its ids: before white space, and before a sign behind a letter or digit."""
+    space = SPACE[data]
+    start = np.zeros(len(data), bool)
+    start[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    start[1:] |= space[1:] & ~space[:-1]
+    letter = _SURE[data[:-1]]
+    latin = (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)     # U+00C0 to U+00FF but the two signs among them
+    letter[1:] |= latin
+    start[1:] |= _PUNCTUATION[data[1:]] & letter
+    return np.flatnonzero(start)
+
+
 class ByteLevelIds:
-    """Ids of a byte-level BPE file of the tokenizers library, as little-endian uint32 bytes per text."""
+    """Ids of a byte-level BPE file of the tokenizers library. Each distinct piece of text goes to the library once."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,20 +92,44 @@ class ByteLevelIds:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache = WordCache(self._encode)
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        import array
+        self.known: dict[int, bytes] = {}
 
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([w.decode() for w in texts], add_special_tokens=False)
         return [array.array("I", e.ids).tobytes() for e in got]
 
-    def texts(self, texts: list[bytes]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if not t.isascii() and _OTHER_SPACE.search(t.decode()) or t.isascii() and any(c in t for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f"))}
-        lists = [_WORDS.findall(t) if i not in odd else [t] for i, t in enumerate(texts)]
-        table = self.cache.table([x for i, x in enumerate(lists) if i not in odd])
-        whole = dict(zip(sorted(odd), self._encode([texts[i] for i in sorted(odd)])))
-        return [whole[i] if i in odd else b"".join(map(table.__getitem__, x)) for i, x in enumerate(lists)]
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """uint32 ids of all rows, joined, and the offsets of each row's ids."""
+        raw, n = data.tobytes(), len(offsets) - 1
+        odd = {}
+        if not raw.isascii() or _CONTROL.search(raw):
+            for k in range(n):
+                t = raw[offsets[k]:offsets[k + 1]]
+                if (not t.isascii() or _CONTROL.search(t)) and _OTHER_SPACE.search(t.decode()):
+                    odd[k] = np.frombuffer(self._encode([t])[0], np.uint32)
+        start = piece_starts(data, offsets)
+        h = span_hashes(data, start, np.append(start[1:], len(data)))
+        value, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        got = list(map(self.known.get, value.tolist()))
+        new = [i for i, v in enumerate(got) if v is None]
+        if new:
+            ends = np.append(start[1:], len(data))
+            for i, ids in zip(new, self._encode([raw[a:b] for a, b in zip(start[first[new]].tolist(), ends[first[new]].tolist())])):
+                got[i] = ids
+            if len(self.known) + len(new) > CACHE:
+                self.known = {}
+            self.known.update(zip(value[new].tolist(), map(got.__getitem__, new)))
+        length = np.array(list(map(len, got)), np.int64) >> 2
+        flat = np.frombuffer(b"".join(got), np.uint32)
+        begin = np.cumsum(length) - length
+        size = length[inverse]
+        end = np.cumsum(size)
+        ids = flat[np.arange(int(size.sum())) + np.repeat(begin[inverse] - (end - size), size)]
+        cut = np.append(0, end)[np.searchsorted(start, offsets)]
+        if odd:
+            parts = [odd[k] if k in odd else ids[cut[k]:cut[k + 1]] for k in range(n)]
+            ids, cut = np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+        return ids, cut
 
 
 _HELD: dict[str, object] = {}
