@@ -32,11 +32,13 @@ _UNITS = "bucket int, keys binary, counts binary, kept binary"
 _PARTS = "bucket int, base bigint, kind int, a binary, b binary, c binary, d binary, e binary"
 _ROW = "bucket int, bases binary, sizes binary, x binary, place binary, sums binary, cells binary, amounts binary, metas binary"
 _ROWS_MAX = 1 << 14          # documents of a row group: the place of a document is 14 bits, its role 2
+_GROUP = 1 << 21             # bytes of text of a row group: a task's arrays are some 30 times that
 _PAIR = 2 * (VOCABULARY_BITS + 1)
 _MASK = np.uint64((1 << _PAIR) - 1)
 _ODD = 0x9E3779B97F4A7C15 & ((1 << _PAIR) - 1) | 1
 _INVERSE = np.uint64(pow(_ODD, -1, 1 << _PAIR))
 _BINS = 128
+_HELD = 1 << 21              # partial scores that a task sums up before it hands them on
 
 
 def _groups(b):
@@ -44,7 +46,7 @@ def _groups(b):
     data, off = text_bytes(b.column(2))
     refs, fold = b.column(0).to_numpy(), b.column(3).to_numpy()
     role = np.where(fold == TEST, 0, np.where(fold == TUNE, 2, 1))
-    for lo, hi in row_groups(off):
+    for lo, hi in row_groups(off, _GROUP):
         for a in range(lo, hi, _ROWS_MAX):
             z = min(hi, a + _ROWS_MAX)
             yield int(refs[a]), slice(a, z), data[off[a]:off[z]], off[a:z + 1] - off[a], role[a:z]
@@ -287,6 +289,8 @@ def weights(cells: np.ndarray, amounts: np.ndarray, size: int, rounds: int = 60)
 def _score(batches, model: Model, table: np.ndarray):
     """Partial scores of the documents of each bucket, by row group, beside what `_merge` had summed."""
     other = -np.log10(model.other_types + 1.0)
+    held: dict[int, np.ndarray] = {}
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["base", "kind", "a", "b"])
     for b in batches:
         for r in b.to_pylist():
             bases, sizes = np.frombuffer(r["bases"], np.int64), np.frombuffer(r["sizes"], np.int64)
@@ -300,14 +304,23 @@ def _score(batches, model: Model, table: np.ndarray):
             value = np.log10(prob) + np.where(p.token == model.unk, other, 0.0)
             each = np.empty(n)
             each[p.order] = np.repeat(value, np.diff(np.append(p.at, n)))
-            out, ends = [], np.append(0, np.cumsum(sizes))
+            ends = np.append(0, np.cumsum(sizes))
             for k, base in enumerate(bases.tolist()):
                 doc = (place[ends[k]:ends[k + 1]] & (_ROWS_MAX - 1)).astype(np.int64)
-                s = np.bincount(doc, each[ends[k]:ends[k + 1]])
-                docs = np.flatnonzero(np.bincount(doc))
-                out.append((base, 0, docs.astype(np.uint16).tobytes(), s[docs].tobytes()))
-            out += [(base, 1, a, None) for base, a, _ in _split(r["sums"])] + [(base, 2, a, s) for base, a, s in _split(r["metas"])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["base", "kind", "a", "b"])
+                got = np.bincount(doc, each[ends[k]:ends[k + 1]])
+                have = held.get(base)
+                if have is None or len(have) < len(got):
+                    held[base] = got if have is None else got + np.append(have, np.zeros(len(got) - len(have)))
+                else:
+                    have[:len(got)] += got
+            out = [(base, 1, a, None) for base, a, _ in _split(r["sums"])] + [(base, 2, a, s) for base, a, s in _split(r["metas"])]
+            if out:
+                yield batch(out)
+            if sum(map(len, held.values())) > _HELD:
+                yield batch([(base, 0, v.tobytes(), None) for base, v in held.items()])
+                held.clear()
+    if held:
+        yield batch([(base, 0, v.tobytes(), None) for base, v in held.items()])
 
 
 def _finish(part: pa.Table, total: int) -> pa.Table:
@@ -317,7 +330,8 @@ def _finish(part: pa.Table, total: int) -> pa.Table:
     base, score, known = np.frombuffer(meta["b"], np.float64).copy(), np.zeros(len(ids)), known.copy()
     for r in sorted((r for r in rows if r["kind"] < 2), key=lambda r: (r["kind"], r["a"], r["b"] or b"")):
         if r["kind"] == 0:
-            score[np.frombuffer(r["a"], np.uint16)] += np.frombuffer(r["b"], np.float64)
+            part_score = np.frombuffer(r["a"], np.float64)
+            score[:len(part_score)] += part_score
         else:
             docs, n, s = np.frombuffer(r["a"], np.float64).reshape(3, -1)
             base[docs.astype(np.int64)] += s
@@ -328,7 +342,7 @@ def _finish(part: pa.Table, total: int) -> pa.Table:
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = VOCABULARY_BITS) -> DataFrame:
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = 4 * partitions(spark)      # small enough that a bucket's arrays fit a task many times over
     src = docs.select(F.monotonically_increasing_id().alias("ref"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
                       crc_mod(F.col(id_col), FOLDS).cast("int").alias("fold"))
     units = unigrams(src, buckets)
