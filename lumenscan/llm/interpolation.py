@@ -5,11 +5,16 @@ c(h). The weights of each bucket are learned by expectation-maximisation on held
 (crc32 of the id mod 10 = 1) is set aside, estimates come from the rest, and the held-out bigrams are summed by bucket and by
 both estimates in quarter octaves. Final estimates use all training documents.
 
-1. Words are counted over all training documents, in hash buckets. Words of more than N / 2**VOCABULARY_BITS occurrences are the
-   vocabulary, which that bound keeps below 2**VOCABULARY_BITS words; all other words are one class, shared out evenly.
-2. Every document's bigrams go, as pairs of vocabulary numbers in scrambled order, to buckets by pair, so that no frequent
-   context meets in one task. Words outside of the vocabulary meet their counts, which the base score needs, in theirs.
-3. Each bucket counts its pairs, gives its held-out sums, and, once the weights are known, its documents' partial scores.
+1. Words are counted over all training documents, in hash buckets. Words of more than N / 2**VOCABULARY_BITS occurrences are
+   frequent, which that bound keeps below 2**VOCABULARY_BITS words; their counts go to all tasks.
+2. Bigrams of two frequent words go, as pairs of their numbers in scrambled order, to buckets by pair, so that no frequent
+   context meets in one task. A bigram with a rarer word goes, by 64-bit hashes, to the bucket of its rarer word (of two, the
+   context), where all of the same bigram and that word's exact count meet; no task gets more of a word than that bound.
+3. Counted bigrams of two rarer words go on to the bucket of their second word, for its count.
+4. Each bucket gives its held-out sums, and, once the weights are known, its documents' partial scores.
+
+So every word has its own counts at every size; words that no training document has count 0. With `bits`, words of at most
+N / 2**bits occurrences are pooled in one class instead, shared out evenly.
 
 Text is lower-cased (A-Z); every document ends in an end token. Null text is the empty text: one end token. Repeated rows count
 and are scored each; a null id counts as the empty string in the split. Without training documents all base terms are
@@ -30,7 +35,9 @@ FOLDS, TEST, TUNE = 10, 0, 1
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 _UNITS = "bucket int, keys binary, counts binary, kept binary"
 _PARTS = "bucket int, base bigint, kind int, a binary, b binary, c binary, d binary, e binary"
-_ROW = "bucket int, bases binary, sizes binary, x binary, place binary, sums binary, cells binary, amounts binary, metas binary"
+_ROW = "bucket int, kind int, bases binary, sizes binary, x binary, place binary, sums binary, cells binary, amounts binary, metas binary, pairs binary"
+_FREQUENT, _AHEAD, _COUNTED = 0, 1, 2      # kinds of these rows: pairs of frequent words, pairs that go on to their second word, pairs with their counts
+_END, _START = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)     # stand for word hashes
 _ROWS_MAX = 1 << 14          # documents of a row group: the place of a document is 14 bits, its role 2
 _GROUP = 1 << 21             # bytes of text of a row group: a task's arrays are some 30 times that
 _PAIR = 2 * (VOCABULARY_BITS + 1)
@@ -89,13 +96,14 @@ def unigrams(src: DataFrame, buckets: int) -> DataFrame:
 class Model:
     """Vocabulary and counts; numbers K, K + 1, K + 2 are the class of other words, the end and the start."""
 
-    def __init__(self, keys, counts, kept, total, total_kept, types, docs, docs_kept):
+    def __init__(self, keys, counts, kept, total, total_kept, types, docs, docs_kept, pooled):
         order = np.argsort(keys)
         self.keys = keys[order]
         self.k = len(keys)
         self.n, self.n_kept = total + docs, total_kept + docs_kept         # tokens with ends
         self.types = types + (docs > 0)
-        self.other_types = types - self.k
+        self.pooled, self.other_types = pooled, types - self.k if pooled else 0
+        self.size = (self.k if pooled else types) + 2
         special = lambda c, t, d: np.concatenate([c[order], [t - c.sum(), d, d]]).astype(np.int64)
         self.count, self.kept = special(counts, total, docs), special(kept, total_kept, docs_kept)
 
@@ -108,11 +116,15 @@ class Model:
         at[at == self.k] = 0
         return np.where(self.keys[at] == h, at, self.k) if self.k else np.full(len(h), self.k)
 
+    def special(self, h: np.ndarray) -> np.ndarray:
+        """As `numbers`, of word hashes and the two signs."""
+        return np.where(h == _END, self.k + 1, np.where(h == _START, self.k + 2, self.numbers(h)))
+
     def base(self, count):
         return np.log10((count + 0.1) / (self.n + 0.1 * (self.types + 1)))
 
 
-def fit_vocabulary(units: DataFrame, src: DataFrame, bits: int) -> Model:
+def fit_vocabulary(units: DataFrame, src: DataFrame, bits: int, pooled: bool) -> Model:
     def sums(batches):
         for b in batches:
             for n, k in zip(b.column(2), b.column(3)):
@@ -134,11 +146,11 @@ def fit_vocabulary(units: DataFrame, src: DataFrame, bits: int) -> Model:
     found = units.mapInArrow(frequent, "v binary, n binary, k binary").collect()
     docs = src.select(F.count_if(F.col("fold") != TEST), F.count_if((F.col("fold") != TEST) & (F.col("fold") != TUNE))).first()
     join = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in found]) if found else np.zeros(0, t)
-    return Model(join("v", np.uint64), join("n", np.int64), join("k", np.int64), total, kept, types, int(docs[0]), int(docs[1]))
+    return Model(join("v", np.uint64), join("n", np.int64), join("k", np.int64), total, kept, types, int(docs[0]), int(docs[1]), pooled)
 
 
 def _deal(batches, model: Model, buckets: int):
-    """Per row group: its pairs by bucket (0), its words outside of the vocabulary by bucket (1), its documents (2)."""
+    """Per row group: its pairs by bucket (0), its rarer words by bucket (1), its documents (2), its pairs with rarer words (3)."""
     m = np.uint64(model.k + 3)
     for b in batches:
         for base, rows_at, data, off, role in _groups(b):
@@ -157,14 +169,29 @@ def _deal(batches, model: Model, buckets: int):
             context[1:] = token[:-1]
             first = np.cumsum(size + 1) - size - 1
             context[first] = model.k + 2
-            x = (context * m + token) * np.uint64(_ODD) & _MASK
             place = (doc | role[doc] << 14).astype(np.uint16)
+            rows = []
+            if not model.pooled:
+                far = (token == model.unk) | (context == model.unk)
+                if far.any():
+                    sign = np.full(len(doc), _END)
+                    sign[slot] = h
+                    before = np.empty_like(sign)
+                    before[1:] = sign[:-1]
+                    before[first] = _START
+                    a, z, p, by_context = before[far], sign[far], place[far], context[far] == model.unk
+                    which = _bucket(np.where(by_context, a, z), buckets)
+                    order = np.argsort(which, kind="stable")
+                    a, z, p = a[order], z[order], p[order]
+                    cut = np.searchsorted(which[order], np.arange(buckets + 1))
+                    rows += [(q, base, 3, a[c].tobytes(), z[c].tobytes(), p[c].tobytes(), None, None) for q in range(buckets) if (c := slice(cut[q], cut[q + 1])).start < c.stop]
+                    token, context, place = token[~far], context[~far], place[~far]
+            x = (context * m + token) * np.uint64(_ODD) & _MASK
             order = np.argsort(x, kind="stable")
             x, place = x[order], place[order]
             which = (x >> np.uint64(_PAIR - 32)).astype(np.int64) * buckets >> 32
             cut = np.searchsorted(which, np.arange(buckets + 1))
             low, top = x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
-            rows = []
             for q in range(buckets):
                 s = slice(cut[q], cut[q + 1])
                 if s.start < s.stop:
@@ -224,7 +251,96 @@ class Pairs:
         self.train, self.kept, self.tune = add(self.role > 0), add(self.role == 1), add(self.role == 2)
 
 
-def _merge(parts: pa.Table, units: pa.Table, model: Model) -> pa.Table:
+def _cells(context: np.ndarray, token: np.ndarray, pair: np.ndarray, tune: np.ndarray, model: Model) -> tuple[bytes, bytes]:
+    """Held-out sums of pairs by the estimates' cells; counts are those without the part set aside."""
+    s = tune > 0
+    c = context[s]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        two = np.where(c > 0, pair[s] / c, 0.0)
+    one = token[s] / max(model.n_kept, 1)
+    cell = (frequency_bucket(c) * _BINS + _bin(two)) * _BINS + _bin(one)
+    cells, where = np.unique(cell, return_inverse=True)
+    return cells.tobytes(), np.bincount(where, tune[s], minlength=len(cells)).astype(np.float64).tobytes()
+
+
+def _units(units: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's words, their counts and those without the part set aside."""
+    if not units.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.frombuffer(units.column(c)[0].as_py(), t) for c, t in (("keys", np.uint64), ("counts", np.int64), ("kept", np.int64)))
+
+
+def _counts(h: np.ndarray, words_: tuple, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count, count without the part set aside, whether frequent or a sign) of hashes; a rarer word's are those of this bucket."""
+    number = model.special(h)
+    often = number != model.unk
+    n, k = model.count[number], model.kept[number]
+    keys, counts, kept = words_
+    if len(keys):
+        at = np.searchsorted(keys, h)
+        at[at == len(keys)] = 0
+        hit = keys[at] == h
+        n, k = np.where(often, n, np.where(hit, counts[at], 0)), np.where(often, k, np.where(hit, kept[at], 0))
+    else:
+        n, k = np.where(often, n, 0), np.where(often, k, 0)
+    return n, k, often
+
+
+def _part(bases: np.ndarray, group: np.ndarray, index: np.ndarray, place: np.ndarray) -> tuple[tuple, np.ndarray]:
+    """(row groups, their sizes, numbers of pairs, places) of occurrences in order of their row groups; the pairs numbered."""
+    groups, sizes = np.unique(group, return_counts=True)
+    pairs, x = np.unique(index, return_inverse=True)
+    return (bases[groups].tobytes(), sizes.astype(np.int64).tobytes(), x.astype(np.uint32).tobytes(), place.tobytes()), pairs
+
+
+def _counted(bucket: int, part: tuple, c, ck, t, tk, train, kept, tune, model: Model) -> tuple:
+    cells, amounts = _cells(ck, tk, kept, tune, model)
+    return (bucket, _COUNTED, *part, None, cells, amounts, None, np.concatenate([c, t, train]).astype(np.int64).tobytes())
+
+
+def _rarer(rows: list[dict], words_: tuple, model: Model, buckets: int) -> list[tuple]:
+    """Pairs with a rarer word, in its bucket: with their counts, or on the way to their second word."""
+    bucket, bases = rows[0]["bucket"], np.array([r["base"] for r in rows], np.int64)
+    a, b, place = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("a", np.uint64), ("b", np.uint64), ("c", np.uint16)))
+    group = np.repeat(np.arange(len(rows)), [len(r["c"]) // 2 for r in rows])
+    order = np.lexsort((b, a))
+    new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+    index = np.empty(len(a), np.int64)
+    index[order] = np.cumsum(new) - 1
+    a, b = a[order][new], b[order][new]
+    role = place >> 14
+    train, kept, tune = (np.bincount(index, s, minlength=len(a)).astype(np.int64) for s in (role > 0, role == 1, role == 2))
+    c, ck, _ = _counts(a, words_, model)
+    t, tk, often = _counts(b, words_, model)
+    target = np.where(often, bucket, _bucket(b, buckets))
+    out, to = [], target[index]
+    order = np.argsort(to, kind="stable")
+    cut = np.append(np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1])), len(to))
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        s = order[lo:hi]
+        part, p = _part(bases, group[s], index[s], place[s])
+        if to[s[0]] == bucket:
+            out.append(_counted(bucket, part, c[p], ck[p], t[p], tk[p], train[p], kept[p], tune[p], model))
+        else:
+            out.append((int(to[s[0]]), _AHEAD, *part, None, None, None, None, np.concatenate([b[p].view(np.int64), c[p], ck[p], train[p], kept[p], tune[p]]).tobytes()))
+    return out
+
+
+def _second(parts: pa.Table, units: pa.Table, model: Model) -> pa.Table:
+    """Pairs that came to the bucket of their second word, with its counts."""
+    rows = parts.to_pylist()
+    if not rows:
+        return pa.Table.from_batches([], _batch([], _ROW).schema)
+    pairs = [np.frombuffer(r["pairs"], np.int64).reshape(6, -1) for r in rows]
+    begin = np.cumsum([0] + [p.shape[1] for p in pairs])
+    b, c, ck, train, kept, tune = np.concatenate(pairs, axis=1)
+    t, tk, _ = _counts(b.view(np.uint64), _units(units), model)
+    x = np.concatenate([np.frombuffer(r["x"], np.uint32) + n for r, n in zip(rows, begin)]).astype(np.uint32)
+    part = (*(b"".join(r[k] for r in rows) for k in ("bases", "sizes")), x.tobytes(), b"".join(r["place"] for r in rows))
+    return pa.Table.from_batches([_batch([_counted(rows[0]["bucket"], part, c, ck, t, tk, train, kept, tune, model)], _ROW)])
+
+
+def _merge(parts: pa.Table, units: pa.Table, model: Model, buckets: int) -> pa.Table:
     rows = sorted(parts.to_pylist(), key=lambda r: (r["base"], r["kind"]))
     if not rows:
         return pa.Table.from_batches([], _batch([], _ROW).schema)
@@ -233,17 +349,9 @@ def _merge(parts: pa.Table, units: pa.Table, model: Model) -> pa.Table:
     x = np.concatenate(x) if x else np.zeros(0, np.uint64)
     place = np.concatenate([np.frombuffer(r["b"], np.uint16) for r in pairs]) if pairs else np.zeros(0, np.uint16)
     p = Pairs(x, place >> 14, model)
-    s = p.tune > 0
-    c = model.kept[p.context[s]]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        two = np.where(c > 0, p.kept[s] / c, 0.0)
-    one = model.kept[p.token[s]] / max(model.n_kept, 1)
-    cell = (frequency_bucket(c) * _BINS + _bin(two)) * _BINS + _bin(one)
-    cells, where = np.unique(cell, return_inverse=True)
-    amounts = np.bincount(where, p.tune[s], minlength=len(cells)).astype(np.float64)
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if units.num_rows:
-        keys, counts = np.frombuffer(units.column("keys")[0].as_py(), np.uint64), np.frombuffer(units.column("counts")[0].as_py(), np.int64)
+    cells, amounts = _cells(model.kept[p.context], model.kept[p.token], p.kept, p.tune, model)
+    words_ = _units(units)
+    keys, counts, _ = words_
     sums = []
     for r in rows:
         if r["kind"] == 1:
@@ -259,9 +367,10 @@ def _merge(parts: pa.Table, units: pa.Table, model: Model) -> pa.Table:
             sums.append((r["base"], got.tobytes(), b""))
     metas = [(r["base"], r["a"], r["b"]) for r in rows if r["kind"] == 2]
     # of x, 42 bits, the low and the high part are kept apart
-    row = (rows[0]["bucket"], np.array([r["base"] for r in pairs], np.int64).tobytes(), np.array([len(r["b"]) // 2 for r in pairs], np.int64).tobytes(),
-           x.astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint16).tobytes(), place.tobytes(), _join(sums), cells.tobytes(), amounts.tobytes(), _join(metas))
-    return pa.Table.from_batches([_batch([row], _ROW)])
+    row = (rows[0]["bucket"], _FREQUENT, np.array([r["base"] for r in pairs], np.int64).tobytes(), np.array([len(r["b"]) // 2 for r in pairs], np.int64).tobytes(),
+           x.astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint16).tobytes(), place.tobytes(), _join(sums), cells, amounts, _join(metas), None)
+    rarer = [r for r in rows if r["kind"] == 3]
+    return pa.Table.from_batches([_batch([row] + (_rarer(rarer, words_, model, buckets) if rarer else []), _ROW)])
 
 
 def weights(cells: np.ndarray, amounts: np.ndarray, size: int, rounds: int = 60) -> np.ndarray:
@@ -291,34 +400,44 @@ def _score(batches, model: Model, table: np.ndarray):
     other = -np.log10(model.other_types + 1.0)
     held: dict[int, np.ndarray] = {}
     batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["base", "kind", "a", "b"])
+
+    def logs(c: np.ndarray, t: np.ndarray, train: np.ndarray) -> np.ndarray:
+        w = table[frequency_bucket(c)]
+        return np.log10(w[:, 1] * (t / max(model.n, 1)) + w[:, 2] / model.size + w[:, 0] * train / np.maximum(c, 1))
+
+    def share(bases, sizes, place, each) -> None:
+        ends = np.append(0, np.cumsum(sizes))
+        for k, base in enumerate(bases.tolist()):
+            doc = (place[ends[k]:ends[k + 1]] & (_ROWS_MAX - 1)).astype(np.int64)
+            got = np.bincount(doc, each[ends[k]:ends[k + 1]])
+            have = held.get(base)
+            if have is None or len(have) < len(got):
+                held[base] = got if have is None else got + np.append(have, np.zeros(len(got) - len(have)))
+            else:
+                have[:len(got)] += got
+
     for b in batches:
         for r in b.to_pylist():
+            if sum(map(len, held.values())) > _HELD:
+                yield batch([(base, 0, v.tobytes(), None) for base, v in held.items()])
+                held.clear()
             bases, sizes = np.frombuffer(r["bases"], np.int64), np.frombuffer(r["sizes"], np.int64)
             n = int(sizes.sum())
+            if r["kind"] == _COUNTED:
+                c, t, train = np.frombuffer(r["pairs"], np.int64).reshape(3, -1)
+                place, each = np.frombuffer(r["place"], np.uint16), logs(c, t, train)[np.frombuffer(r["x"], np.uint32)]
+                share(bases, sizes, place, each)
+                continue
             x = np.frombuffer(r["x"][:4 * n], np.uint32).astype(np.uint64) | np.frombuffer(r["x"][4 * n:], np.uint16).astype(np.uint64) << np.uint64(32)
             place = np.frombuffer(r["place"], np.uint16)
             p = Pairs(x, place >> 14, model)
-            c = model.count[p.context]
-            w = table[frequency_bucket(c)]
-            prob = w[:, 1] * (model.count[p.token] / max(model.n, 1)) + w[:, 2] / (model.k + 2) + w[:, 0] * p.train / np.maximum(c, 1)
-            value = np.log10(prob) + np.where(p.token == model.unk, other, 0.0)
+            value = logs(model.count[p.context], model.count[p.token], p.train) + np.where(p.token == model.unk, other, 0.0)
             each = np.empty(n)
             each[p.order] = np.repeat(value, np.diff(np.append(p.at, n)))
-            ends = np.append(0, np.cumsum(sizes))
-            for k, base in enumerate(bases.tolist()):
-                doc = (place[ends[k]:ends[k + 1]] & (_ROWS_MAX - 1)).astype(np.int64)
-                got = np.bincount(doc, each[ends[k]:ends[k + 1]])
-                have = held.get(base)
-                if have is None or len(have) < len(got):
-                    held[base] = got if have is None else got + np.append(have, np.zeros(len(got) - len(have)))
-                else:
-                    have[:len(got)] += got
+            share(bases, sizes, place, each)
             out = [(base, 1, a, None) for base, a, _ in _split(r["sums"])] + [(base, 2, a, s) for base, a, s in _split(r["metas"])]
             if out:
                 yield batch(out)
-            if sum(map(len, held.values())) > _HELD:
-                yield batch([(base, 0, v.tobytes(), None) for base, v in held.items()])
-                held.clear()
     if held:
         yield batch([(base, 0, v.tobytes(), None) for base, v in held.items()])
 
@@ -340,16 +459,20 @@ def _finish(part: pa.Table, total: int) -> pa.Table:
                      "train_tokens": pa.array(np.full(len(ids), total, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = VOCABULARY_BITS) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, held: int = VOCABULARY_BITS) -> DataFrame:
+    """Every document's scores. Without `bits` no word is pooled, and words of more than N / 2**held occurrences count as frequent."""
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)      # small enough that a bucket's arrays fit a task many times over
     src = docs.select(F.monotonically_increasing_id().alias("ref"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
                       crc_mod(F.col(id_col), FOLDS).cast("int").alias("fold"))
     units = unigrams(src, buckets)
-    fitted = fit_vocabulary(units, src.select("fold"), bits)
+    fitted = fit_vocabulary(units, src.select("fold"), held if bits is None else bits, bits is not None)
     model = spark.sparkContext.broadcast(fitted)
     dealt = src.mapInArrow(lambda batches: _deal(batches, model.value, buckets), _PARTS)
-    table = stored(dealt.groupBy("bucket").cogroup(units.groupBy("bucket")).applyInArrow(lambda p, u: _merge(p, u, model.value), _ROW))
+    table = stored(dealt.groupBy("bucket").cogroup(units.groupBy("bucket")).applyInArrow(lambda p, u: _merge(p, u, model.value, buckets), _ROW))
+    if bits is None:
+        ahead = table.where(F.col("kind") == _AHEAD).groupBy("bucket").cogroup(units.groupBy("bucket"))
+        table = table.where(F.col("kind") != _AHEAD).unionByName(stored(ahead.applyInArrow(lambda p, u: _second(p, u, model.value), _ROW)))
 
     def cells(batches):
         for b in batches:
@@ -357,8 +480,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c.as_py(), np.int64)), pa.array(np.frombuffer(n.as_py(), np.float64))], ["cell", "n"])
 
     # at most 66 x 128 x 128 cells, whatever the corpus
-    held = table.select("cells", "amounts").mapInArrow(cells, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
-    mix = weights(np.array([r["cell"] for r in held], np.int64), np.array([r["n"] for r in held], np.float64), fitted.k + 2)
+    sums = table.select("cells", "amounts").mapInArrow(cells, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
+    mix = weights(np.array([r["cell"] for r in sums], np.int64), np.array([r["n"] for r in sums], np.float64), fitted.size)
     partial = table.mapInArrow(lambda batches: _score(batches, model.value, mix), "base bigint, kind int, a binary, b binary")
     total = fitted.n
     return partial.groupBy("base").applyInArrow(lambda part: _finish(part, total), RESULT)

@@ -91,6 +91,21 @@ def test_scores_against_brute_force(spark, bits):
     compare(spark, rows, bits)
 
 
+@pytest.mark.parametrize("held", [20, 6, 3])
+def test_no_word_is_pooled(spark, held):
+    """However few words are frequent, scores are those of the model that has every word."""
+    r = random.Random(held)
+    vocab = [f"w{int(r.paretovariate(.8))}" for _ in range(400)]
+    rows = [(i, " ".join(r.choice(vocab) for _ in range(r.randrange(60)))) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, "Unseen WORDS été"), (None, "null id here"), (3, rows[3][1]), (3, rows[3][1]), (203, "w1 " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: (str(r[0]), r[2], round(r[5], 6))
+    got, want = sorted((tuple(x) for x in lm.scores(df, held=held).collect()), key=key), sorted(brute(rows, 62), key=key)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
+
+
 def test_given_documents_and_gain_over_the_base(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     compare(spark, rows, 10)
