@@ -79,9 +79,11 @@ def _deal(batches, buckets: int, k: int):
         data, off = text_bytes(b.column(2))
         refs = b.column(0).to_numpy()
         ids = b.column(1)
+        # rows of several stored files may meet in a batch: a row group has consecutive numbers
+        breaks = np.flatnonzero(np.diff(refs) != 1) + 1
         for lo, hi in row_groups(off):
-            for lo2 in range(lo, hi, 65536):
-                hi2 = min(hi, lo2 + 65536)
+            cuts = [lo, *breaks[(breaks > lo) & (breaks < hi)].tolist(), hi]
+            for lo2, hi2 in ((a, min(z, a + 65536)) for y, z in zip(cuts, cuts[1:]) for a in range(y, z, 65536)):
                 g, r = shingles(data[off[lo2]:off[hi2]], off[lo2:hi2 + 1] - off[lo2], k)
                 base = int(refs[lo2])
                 own = ids.slice(lo2, hi2 - lo2)
@@ -158,10 +160,13 @@ def _gather(part: pa.Table) -> pa.Table:
                      "keys": pa.array(keys, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
 
 
-def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS) -> DataFrame:
-    """Per document: size of its set; if it may have partners, the shared shingles (sorted) and the prefix."""
+def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, ref_col: str | None = None) -> DataFrame:
+    """Per document: size of its set; if it may have partners, the shared shingles (sorted) and the prefix.
+
+    `ref_col` names the rows' numbers where they are stored; otherwise this read numbers them.
+    """
     buckets = 2 * partitions(docs.sparkSession)
-    src = docs.select(F.monotonically_increasing_id().alias("ref"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    src = docs.select((F.col(ref_col) if ref_col else F.monotonically_increasing_id()).alias("ref"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     dealt = src.mapInArrow(lambda batches: _deal(batches, buckets, k), _PARTS)
     counted = dealt.groupBy("bucket").applyInArrow(_count, _PARTS)
     return stored(counted.groupBy("base").applyInArrow(_gather, TABLE))
@@ -254,9 +259,9 @@ def linked(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return names, comps
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ref_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), ref (the row) and is_first (of its component)."""
-    table = shingle_table(docs, id_col, text_col)
+    table = shingle_table(docs, id_col, text_col, ref_col=ref_col)
     names, comps = linked(table)
     rows = table.withColumn("ckey", F.concat_ws(":", F.col("n"), F.md5("keys"), F.when(F.col("shared") < F.col("n"), F.col("ref"))))
     rows = rows.select("ref", "doc_id", "n", F.when(F.col("keys").isNotNull(), F.col("ckey")).alias("ckey"))
@@ -271,7 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are alone or the first of their component: smallest id, nulls last, then the earliest row.
 
-    `docs` is read twice and has to give the same rows in the same order, as stored tables do.
+    `docs` is read once: its rows are stored with their numbers, as a second read may deal them to other partitions.
     """
-    later = near_duplicates(docs, id_col, text_col).where(~F.col("is_first")).select(F.col("ref").alias("_ref"))
-    return docs.withColumn("_ref", F.monotonically_increasing_id()).join(later, "_ref", "left_anti").drop("_ref")
+    docs = stored(docs.withColumn("_ref", F.monotonically_increasing_id()))
+    later = near_duplicates(docs, id_col, text_col, "_ref").where(~F.col("is_first")).select(F.col("ref").alias("_ref"))
+    return docs.join(later, "_ref", "left_anti").drop("_ref")

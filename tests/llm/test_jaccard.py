@@ -82,6 +82,29 @@ def test_given_documents(spark):
     assert got(frame(spark, rows)) == brute(rows)
 
 
+def test_first_of_each_when_rows_are_dealt_anew(spark, tmp_path):
+    """The files are packed into other partitions between the two uses of the table."""
+    texts = [t for s in range(8) for t in family(s, 5, 2)] + [f"alone {i} " + " ".join(f"u{i}x{j}" for j in range(30)) for i in range(40)]
+    rows = list(enumerate(texts))
+    random.Random(3).shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    was = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "1m")
+        out = jaccard.first_of_each(docs)
+        spark.conf.set(names[0], "1g")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        got_ = sorted(r.doc_id for r in out.collect())
+    finally:
+        for n in names:
+            spark.conf.set(n, was[n])
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got_ == sorted(d for d, _, c in brute(rows) if d == c)
+
+
 def test_empty_table(spark):
     assert got(frame(spark, [(1, "a b")]).limit(0)) == []
 
