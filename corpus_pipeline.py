@@ -2,7 +2,7 @@
 
 1. quality: documents that the classifier scores below 0.7 go. Held-out rows of the classifier's query are held out here too.
 2. lines: repeated lines go from every document's text, wherever their first occurrence stands; a document of whose lines none
-   is left goes. Documents without any line stay as they are.
+   is left goes; empty lines count as none. Documents without any line but empty ones stay as they are.
 3. near_duplicates: of the documents linked by a Jaccard similarity of 0.8 or more, directly or through others, one stays: the
    one with the smallest id (of equal ids, the first row).
 4. personal_data: mentions of personal data get keyed surrogates.
@@ -30,7 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = lines.dedup_lines(docs).where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    # empty lines are never removed: a document that lost lines and has only empty ones left has lost all that it says
+    kept = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.replace("text", F.lit("\n"), F.lit("")) != ""))
     return _as_documents(kept, docs)
 
 

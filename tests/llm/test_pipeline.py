@@ -60,6 +60,13 @@ def test_lines_equal_the_sql_twin(stages):
         assert hashlib.sha256(r.text.encode()).hexdigest() == twin[d][3] and r.n_chars == len(r.text)
 
 
+def test_copies_with_empty_lines_go(spark):
+    rows = [(1, "a first line\nand another"), (2, "a first line\nand another\n"), (3, "\na first line\n\nand another"), (4, "\n\n"), (5, ""), (6, None), (7, "and another\n\nbut new")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines_stage(spark, docs, SF).collect()}
+    assert got == {1: "a first line\nand another", 4: "\n\n", 5: "", 6: None, 7: "\nbut new"}
+
+
 def test_one_document_of_each_group_stays(stages):
     before, after = stages["near_duplicates"]
     rows = [(r.doc_id, r.text) for r in before.collect()]
