@@ -51,6 +51,28 @@ def test_formats_coreference_and_gender(spark):
     assert run(spark, [(1, texts[1])], "another key")[0].text != one
 
 
+def test_national_numbers_ipv6_and_names_without_title(spark):
+    texts = {
+        1: "call 415-555-0132, 415.555.0132 or 1-415-555-0199; London 020 7946 0958, Berlin 030/12345678, not 01-02-2024 10:30 or 2024-01-02",
+        2: "number 123-45-6789 again 123-45-6789, order 1234-56-7890",
+        3: "from 2001:db8::8a2e:370:7334 and 2001:0DB8:0000:0000:0000:8A2E:0370:7335, fe80::1, at 12:34:56, x[1::2], a::b, std::map",
+        4: "Mr McDonald met Mr O'Brien, Mrs Garcia-Lopez and Mr Smith's dog. McDonald left; Garcia-Lopez, O'Brien and Smith stayed, blacksmith Smithson too.",
+        5: "McDonald farms, Smith",
+    }
+    got = {r.doc_id: r for r in run(spark, list(texts.items()))}
+    for d, t in list(texts.items())[:3]:
+        assert re.sub("[0-9a-f]", "9", got[d].text.lower()) == re.sub("[0-9a-f]", "9", t.lower())
+    m = re.fullmatch(r"call (\S+), (\S+) or (1-\S+); London (0.*), Berlin (0\S+), not 01-02-2024 10:30 or 2024-01-02", got[1].text)
+    assert re.sub(r"\D", "", m[1]) == re.sub(r"\D", "", m[2]) != "4155550132" and m[4] != "020 7946 0958" and m[5] != "030/12345678" and got[1].n_entities == 5
+    m = re.fullmatch(r"number (\S+) again (\S+), order 1234-56-7890", got[2].text)
+    assert m[1] == m[2] != "123-45-6789"
+    m = re.fullmatch(r"from (2001:\S+) and (2001:\S+), (fe80::.), at 12:34:56, x\[1::2\], a::b, std::map", got[3].text)
+    assert m[1] != "2001:db8::8a2e:370:7334" and m[2] != "2001:0DB8:0000:0000:0000:8A2E:0370:7335" and m[3] != "fe80::1" and got[3].n_entities == 3
+    m = re.fullmatch(r"Mr (\w+) met Mr (\w+), Mrs (\w+) and Mr (\w+)'s dog\. (\w+) left; (\w+), (\w+) and (\w+) stayed, blacksmith Smithson too\.", got[4].text)
+    assert (m[5], m[6], m[7], m[8]) == (m[1], m[3], m[2], m[4]) and not {"McDonald", "Brien", "Garcia", "Lopez", "Smith"} & set(m.groups()) and got[4].n_entities == 8
+    assert got[5].text == texts[5] and got[5].n_entities == 0
+
+
 def test_distinct_entities_stay_distinct(spark):
     """All one-digit addresses of two octets' choice and many names: draws must collide, results must not."""
     texts = [(i, f"at {a}.{b}.1.1 and Mr {chr(65 + a)}{'abcdefghij'[b] * 3}") for i, (a, b) in enumerate((a, b) for a in range(1, 10) for b in range(1, 10))]
