@@ -385,7 +385,7 @@ def sort_key(df: DataFrame, profile: dict, verdict: str = "verdict", m: str = "m
 # ---------------------------------------------------------------------------------------------- explanations
 def explain_verdict(df: DataFrame, m: str = "m", components: str = "components", sd: str = "m_sd", verdict: str = "verdict",
                     out: str = "explanation") -> DataFrame:
-    """How a verdict was made: the rule in words, the component readings with their middle and spread, the C-H gap
+    """How a verdict was made: the rule's key and the rule in words, the component readings with their middle and spread, the C-H gap
     against its two lines, the contrast nearest its own line, and the reading's noise SD."""
     v, comps = F.col(verdict), F.col(components)
     vals = F.map_values(comps)
@@ -395,6 +395,7 @@ def explain_verdict(df: DataFrame, m: str = "m", components: str = "components",
                                             .when(a["fraction"] < b["fraction"], 1).otherwise(0)), F.lit(1))
     gap_known = v["panel"]["ch_gap"].isNotNull() & v["panel"]["ch_possible_above"].isNotNull()
     return df.withColumn(out, F.struct(
+        v["rule_step"].alias("rule_key"),
         F.coalesce(F.element_at(word_map(RULE_WORDS), v["rule_step"]), F.lit(RULE_UNUSABLE)).alias("rule"),
         F.when(whole, comps).alias("components"), F.when(whole, A.median(vals)).alias("middle"),
         F.when(whole, F.array_max(vals) - F.array_min(vals)).alias("spread"),

@@ -274,7 +274,7 @@ def _results(spark, sf):
 @query("explanation", VERDICT_CTE + f"SELECT k, {q6('list_aggregate([m + 0.3e0, m, m - (k % 4) * 0.4e0], ' + chr(39) + 'median' + chr(39) + ')')} AS middle, {q6('0.3e0 + (k % 4) * 0.4e0')} AS spread, step <> 'model_verdict' AS ruled FROM vd")
 def _explain(spark, sf):
     d = V.explain_verdict(V.collagen_verdict(verdict_input(spark, sf)).withColumn("m_sd", F.lit(0.2)))
-    return d.select("k", r6(F.col("explanation.middle")).alias("middle"), r6(F.col("explanation.spread")).alias("spread"), (~F.col("explanation.rule").startswith("The consensus reading")).alias("ruled"))
+    return d.select("k", r6(F.col("explanation.middle")).alias("middle"), r6(F.col("explanation.spread")).alias("spread"), (F.col("explanation.rule_key") != "model_verdict").alias("ruled"))
 
 
 @query("instrument_notes", """SELECT c_custkey AS k, (CASE WHEN c_custkey % 2 = 0 THEN 'std' ELSE 'hires' END) <> CASE WHEN c_custkey % 3 = 0 THEN 'std' ELSE 'hires' END AS mismatch, c_custkey % 7 = 0 AS uncalibrated FROM customer""")
