@@ -6,13 +6,14 @@ the little that crosses buckets (a count, a last value) is carried by a window o
 """
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenscan.sources.shared import checkpoint_root
+
 
 def row_numbers(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], out: str = "rank") -> DataFrame:
     """1-based row number per key in ``order``; ``bucket`` must not decrease along that order."""
@@ -30,10 +31,8 @@ def row_numbers(df: DataFrame, keys: list[str], bucket: Column, order: list[Colu
 
 
 def held(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's checkpoint folder. A session without one (a local test) gets a folder of its own."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    """``df`` written once to the cluster's checkpoint folder."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint()
 
 

@@ -78,21 +78,37 @@ def drop_shadowed(df: DataFrame, path: str = "path") -> DataFrame:
     return marked.join(sources, marked["_target"] == sources["_src"], "left_anti").drop("_target")
 
 
-def _decode(b: bytes, head: np.dtype) -> dict:
+# Why a file could not be decoded: a key for programs, the text for people.
+SHORT, UNKNOWN, CUT, ABSENT = ("unsupported: file shorter than the header", "unsupported: unknown data format", "unsupported: truncated sample block", "unsupported: no content")
+DECODE_CODES = {SHORT: "short_header", UNKNOWN: "unknown_format", CUT: "truncated_samples", ABSENT: "unreadable"}
+HEAD = np.dtype({"names": list(HEADER), "formats": [t for t, _ in HEADER.values()], "offsets": [o for _, o in HEADER.values()], "itemsize": HEADER_BYTES})
+
+
+def decode_header(b: bytes, size: int) -> dict:
+    """Header fields from the first bytes of a file of `size` bytes, and what they and the size say against decoding it."""
     row: dict = {"magic": b[:3].decode("latin1")}
     row["format"] = FORMATS.get(row["magic"])
     if len(b) < HEADER_BYTES:
-        return {**row, "decode_error": "unsupported: file shorter than the header"}
-    h = np.frombuffer(b, head, 1)[0]
+        return {**row, "decode_error": SHORT}
+    h = np.frombuffer(b, HEAD, 1)[0]
     row.update({k: int(h[k]) for k in _INTS})
     row.update(wl_start=float(h["ch1_wavel"]), wl_step=float(h["wavel_step"]), n=row["channels"],
                splices_header_nm=[float(h["splice1"]), float(h["splice2"])])
     kind = SAMPLE_TYPES.get(row["data_format"])
     if kind is None:
-        return {**row, "decode_error": "unsupported: unknown data format"}
+        return {**row, "decode_error": UNKNOWN}
+    if size < HEADER_BYTES + row["n"] * np.dtype(kind).itemsize:
+        return {**row, "decode_error": CUT}
+    return row
+
+
+def decode_file(b: bytes) -> dict:
+    """Header fields and blocks of one file."""
+    row = decode_header(b, len(b))
+    if "decode_error" in row:
+        return row
+    kind = SAMPLE_TYPES[row["data_format"]]
     end = HEADER_BYTES + row["n"] * np.dtype(kind).itemsize
-    if len(b) < end:
-        return {**row, "decode_error": "unsupported: truncated sample block"}
     values = np.frombuffer(b, kind, row["n"], HEADER_BYTES).astype(float)
     if row["format"] == "legacy":
         return {**row, "stored_r": values}
@@ -106,24 +122,24 @@ def _decode(b: bytes, head: np.dtype) -> dict:
     return row
 
 
+_KINDS = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32()}
+
+
+def arrow_column(rows: list[dict], f: T.StructField) -> pa.Array:
+    return pa.array([r.get(f.name) for r in rows], type=_KINDS.get(f.dataType, pa.list_(pa.float64())))
+
+
 def decode(files: DataFrame, content: str = "content") -> DataFrame:
     """Header fields and blocks of every file; ``decode_error`` says why a file could not be decoded."""
     keep = [f for f in files.schema.fields if f.name != content]
     schema = T.StructType(keep + DECODED.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = np.dtype({"names": list(HEADER), "formats": [t for t, _ in HEADER.values()],
-                         "offsets": [o for _, o in HEADER.values()], "itemsize": HEADER_BYTES})
-        kinds = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32()}
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                rows = [_decode(b, head) if b is not None else {"decode_error": "unsupported: no content"}
-                        for b in part.column(content).to_pylist()]
-                cols = [part.column(f.name) for f in keep]
-                for f in DECODED.fields:
-                    kind = kinds.get(f.dataType, pa.list_(pa.float64()))
-                    cols.append(pa.array([r.get(f.name) for r in rows], type=kind))
+                rows = [decode_file(b) if b is not None else {"decode_error": ABSENT} for b in part.column(content).to_pylist()]
+                cols = [part.column(f.name) for f in keep] + [arrow_column(rows, f) for f in DECODED.fields]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
 
     return files.mapInArrow(run, schema)
@@ -203,6 +219,19 @@ def with_file_hash(df: DataFrame, content: str = "content", out: str = "file_sha
 
 
 # ---------------------------------------------------------------------------------------------- completeness
+# What must not be zero or missing in a file that is written to its end.
+ZERO_CHANNELS, ZERO_BELOW_NM, TRAILER_BYTES = 32, 2450.0, 212
+
+
+def float32_le(content: Column, off: int) -> Column:
+    """A little-endian 32-bit float at a byte offset; null for infinities and NaN."""
+    byte = lambda i: F.conv(F.hex(F.substring(content, off + i + 1, 1)), 16, 10).cast("bigint")
+    bits = byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216
+    exponent, fraction = F.shiftright(bits, 23).bitwiseAND(255), bits.bitwiseAND(0x7FFFFF)
+    value = F.when(exponent == 0, fraction / F.lit(2.0 ** 149)).when(exponent < 255, (fraction + 0x800000) * F.pow(F.lit(2.0), (exponent - 150).cast("double")))
+    return F.when(bits >= 1 << 31, -value).otherwise(value)
+
+
 def file_shape(content: Column) -> Column:
     """struct(state, reason) of raw bytes: complete, incomplete (still being written) or unrecognised.
 
@@ -220,8 +249,14 @@ def file_shape(content: Column) -> Column:
     dyn = lambda off: F.conv(F.hex(F.substr(content, off + 1, F.lit(1))), 16, 10).cast("int")
     at = end + F.when(magic == "as7", 17).otherwise(18)
     ref_end = end + 20 + dyn(at) + dyn(at + 1) * 256 + block
-    tail = F.substr(content, end - F.least(channels, F.lit(64)) * width + 1, F.least(channels, F.lit(64)) * width)
-    ref_tail = F.substr(content, ref_end - F.least(channels, F.lit(64)) * width + 1, F.least(channels, F.lit(64)) * width)
+    tail = F.substr(content, end - F.least(channels, F.lit(ZERO_CHANNELS)) * width + 1, F.least(channels, F.lit(ZERO_CHANNELS)) * width)
+    ref_tail = F.substr(content, ref_end - F.least(channels, F.lit(ZERO_CHANNELS)) * width + 1, F.least(channels, F.lit(ZERO_CHANNELS)) * width)
+    # the last channels up to ZERO_BELOW_NM, where a white reference is never zero
+    first, step = float32_le(content, 191), float32_le(content, 195)
+    last = F.floor((F.lit(ZERO_BELOW_NM) - first) / F.when(step > 0, step)).cast("int") + 1
+    hi = F.when((last >= 1) & (last <= channels), last).otherwise(channels)
+    lo = F.greatest(hi - ZERO_CHANNELS, F.lit(0))
+    ref_inside = F.substr(content, ref_end - block + lo * width + 1, (hi - lo) * width)
     zero = lambda b: F.rlike(F.hex(b), F.lit("^0*$"))
     reason = (F.when(size < 3, F.lit("shorter than the file signature"))
               .when(F.hex(F.substring(content, 1, 3)) == "000000", F.lit("file start is still zero-filled"))
@@ -231,6 +266,7 @@ def file_shape(content: Column) -> Column:
               .when((magic == "ASD") & zero(tail), F.lit("reflectance block is still zero-filled"))
               .when(magic.isin("ASD", "as6"), F.lit(None)).when(size < end + 20, F.lit("reference header incomplete"))
               .when(size < ref_end, F.lit("white-reference block incomplete"))
-              .when(zero(ref_tail), F.lit("white-reference block is still zero-filled")))
+              .when((magic == "as8") & (size > ref_end) & (size < ref_end + TRAILER_BYTES), F.lit("file trailer incomplete"))
+              .when(zero(ref_tail) | zero(ref_inside), F.lit("white-reference block is still zero-filled")))
     return F.struct(F.when(reason.isNull(), F.lit("complete")).when(reason.startswith("?"), F.lit("unrecognised")).otherwise(F.lit("incomplete")).alias("state"),
                     F.regexp_replace(reason, r"^\?", "").alias("reason"))
