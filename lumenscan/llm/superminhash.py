@@ -10,9 +10,9 @@
 4. Every class is compared with the first of each of its buckets, on full sets, and union-find joins what is linked. The sets are
    made anew from the texts of the classes that are in buckets; no other text is read into shingles twice.
 5. Where a bucket still holds several components, all pairs of different components are looked at: the bucket is cut by size
-   (sets of similarity 0.85 differ by less than one size class) and into blocks; blocks meet as numpy arrays, where only pairs of
-   at least CLOSE equal slots (7 standard deviations below the threshold) leave, to be verified on full sets. So no pair of a
-   large family is listed, and no link is lost but by the probabilities named.
+   (sets of similarity 0.85 differ by less than one size class) and into blocks; blocks meet as numpy arrays, where pairs of at
+   least CLOSE equal slots (7 standard deviations below the threshold) are verified on full sets, and only links that join
+   components leave. So no pair of a large family is listed, and no link is lost but by the probabilities named.
 
 Null or empty text, or text without words, has an empty set and links with nothing. Repeated rows are documents of their own; a
 null id links and names a component only if no member has an id (kept then compares null with null and holds). An empty table
@@ -93,7 +93,8 @@ def _bands(batches):
         key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), 1))
         for j in range(ROWS):
             key = mix(key * _U(0x9E3779B97F4A7C15) + sig[:, :, j])
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(np.repeat(b.column(1).to_numpy(), BANDS))], ["key", "cid", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(np.repeat(b.column(1).to_numpy(), BANDS)),
+                                           pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig)))], ["key", "cid", "n", "band"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -111,18 +112,22 @@ def _sets(batches, words: int):
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([h[s:e].tobytes() for s, e in zip(at, at[1:])], pa.binary())], ["cid", "keys"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int(np.count_nonzero(y[at] == x))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _linked(batches):
     """Pairs whose full sets are similar enough."""
     for b in batches:
         out = []
         for u, v, ku, kv in zip(*(c.to_pylist() for c in b.columns)):
-            x, y = np.frombuffer(ku, np.uint64), np.frombuffer(kv, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int(np.count_nonzero(y[at] == x))
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
+            if _similar(np.frombuffer(ku, np.uint64), np.frombuffer(kv, np.uint64)):
                 out.append((u, v))
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
 
@@ -134,38 +139,59 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("u", "v", "ku", "kv").mapInArrow(_linked, "u bigint, v bigint")
 
 
-def _close(part: pa.Table) -> pa.Table:
-    """Two blocks of a bucket: pairs of different components, possible sizes and CLOSE equal slots."""
+def _meet(part: pa.Table) -> pa.Table:
+    """Links between two blocks of a bucket that join different components, as far as these blocks tell.
+
+    A pair is looked at in the first band that it shares, if its sizes allow a link and CLOSE slots are equal; full sets decide.
+    Members of the most frequent component here meet only those of others.
+    """
     cid, n, comp, block = (part.column(c).to_numpy() for c in ("cid", "n", "comp", "block"))
     own = part.column("own").to_numpy(zero_copy_only=False)
-    sig = _matrix(part.column("sig"))
-    i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    us, vs = [], []
-    for a in left:
-        b = right if i != j else right[right > a]
-        b = b[(comp[b] != comp[a]) & (own[b] | own[a]) & (100 * np.minimum(n[b], n[a]) >= PERCENT * np.maximum(n[b], n[a]))]
-        if len(b):
-            b = b[np.count_nonzero(sig[b] == sig[a], axis=1) >= CLOSE]
-            us.append(np.full(len(b), cid[a]))
-            vs.append(cid[b])
-    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-    return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
-
-
-def rest_of_buckets(buckets: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """u, v: pairs that share a bucket, are in different components and have similar signatures."""
-    rows = buckets.select("key", "cid", "n").join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    sig, keys = _matrix(part.column("sig")), part.column("keys")
+    i, j, band = (part.column(c)[0].as_py() for c in ("i", "j", "band"))
+    names, times = np.unique(comp, return_counts=True)
+    main = comp == names[np.argmax(times)]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    for a in np.flatnonzero(~main):
+        other = (block == (j if block[a] == i else i)) & (comp != comp[a]) & (own | own[a]) & (100 * np.minimum(n, n[a]) >= PERCENT * np.maximum(n, n[a]))
+        if i == j:
+            other[:a] &= main[:a]
+        elif block[a] == j:
+            other &= main
+        b = np.flatnonzero(other)
+        if not len(b):
+            continue
+        same = sig[b] == sig[a]
+        b = b[(np.count_nonzero(same, axis=1) >= CLOSE) & (same.reshape(len(b), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)]
+        mine = np.frombuffer(keys[int(a)].as_py(), np.uint64) if len(b) else None
+        for k in b.tolist():
+            u, v = find(int(comp[a])), find(int(comp[k]))
+            if u != v and _similar(mine, np.frombuffer(keys[k].as_py(), np.uint64)):
+                parent[u] = v
+                links.append((int(cid[a]), int(cid[k])))
+    return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+
+def rest_of_buckets(buckets: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """u, v: links between classes that share a bucket and are in different components."""
+    rows = buckets.select("key", "band", "cid", "n").join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("a") != F.col("b")).select("key")
     # a class of size is as wide as the largest allowed difference, and a little more for rounding
     size = F.floor(F.log(F.col("n")) / F.lit(1.001 * math.log(100 / PERCENT))).cast("int")
-    rows = rows.join(mixed, "key").select("key", "cid", "n", "comp", F.explode(F.array(F.struct(size.alias("c"), F.lit(True).alias("own")), F.struct((size + 1).alias("c"), F.lit(False).alias("own")))).alias("x")).select("key", "cid", "n", "comp", "x.c", "x.own")
+    rows = rows.join(mixed, "key").select("key", "band", "cid", "n", "comp", F.explode(F.array(F.struct(size.alias("c"), F.lit(True).alias("own")), F.struct((size + 1).alias("c"), F.lit(False).alias("own")))).alias("x")).select("key", "band", "cid", "n", "comp", "x.c", "x.own")
     many = rows.groupBy("key", "c").agg(F.count("*").alias("m"), F.count_if("own").alias("owns"), F.min("comp").alias("a"), F.max("comp").alias("b")).where((F.col("owns") > 0) & (F.col("a") != F.col("b")))
     many = many.select("key", "c", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(many, ["key", "c"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    met = rows.select("key", "c", "cid", "n", "comp", "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    met = rows.select("key", "band", "c", "cid", "n", "comp", "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     met = met.select("*", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")).drop("o")
-    return met.join(classes.select("cid", "sig"), "cid").groupBy("key", "c", "i", "j").applyInArrow(_close, "u bigint, v bigint").distinct()
+    return met.join(classes.select("cid", "sig"), "cid").join(sets, "cid").groupBy("key", "c", "i", "j").applyInArrow(_meet, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -176,9 +202,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.where(F.col("n") > 0).groupBy("digest").agg(first, F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "first.doc_id", "first.text_md5", "n", "sig"))
 
-    keys = classes.select("cid", "n", "sig").mapInArrow(_bands, "key bigint, cid bigint, n bigint")
+    keys = classes.select("cid", "n", "sig").mapInArrow(_bands, "key bigint, cid bigint, n bigint, band int")
     met = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("cid", "n")).alias("hub")).where(F.col("m") > 1)
-    buckets = stored(keys.join(met, "key").select("key", "cid", "n", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n")))
+    buckets = stored(keys.join(met, "key").select("key", "band", "cid", "n", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n")))
 
     needed = stored(classes.join(buckets.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("doc_id").alias("_id"), "text_md5"))
     small = F.broadcast(needed) if needed.count() <= SMALL else needed
@@ -188,7 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = 100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
     links = stored(verified(buckets.where((F.col("cid") != F.col("hub")) & alike).select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct(), sets))
     comps = components(links)
-    more = stored(verified(rest_of_buckets(buckets, classes, comps), sets))
+    more = stored(rest_of_buckets(buckets, classes, sets, comps))
     if not more.isEmpty():
         comps = components(more.unionByName(comps.select(F.col("node").alias("u"), F.col("comp").alias("v"))))
 
