@@ -368,5 +368,18 @@ class ScanFiles(DataSource):
         return ScanWriter(dict(self.options), schema)
 
 
+def read_paths(df: DataFrame) -> DataFrame:
+    """The files named by `path` as rows of the source, as they are now; `arrival_seq` stays with them."""
+    def run(batches):
+        for b in batches:
+            paths, seq = b.column("path").to_pylist(), b.column("arrival_seq").to_pylist()
+            if paths:
+                fs, _ = opened(paths[0])
+                info = fs.get_file_info([opened(p)[1] for p in paths])
+                yield from _Rows({"path": paths[0]}, FULL).batches([Entry(p, max(i.size or 0, 0), int(i.mtime_ns or 0) // 1000, n) for p, i, n in zip(paths, info, seq)])
+
+    return df.select("path", "arrival_seq").mapInArrow(run, FULL)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ScanFiles)
