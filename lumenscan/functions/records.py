@@ -45,14 +45,14 @@ def flatten(df: DataFrame, **options) -> DataFrame:
     return df.select(*flat_columns(df.schema, **options))
 
 
-def flatten_long(df: DataFrame, id_cols: list[str]) -> DataFrame:
-    """(ids, key, value): every scalar leaf of every row as text, list items by position plus the list's ``.n``.
-
-    The leaves are gathered into one array per row and exploded, so this is a narrow job whatever the nesting.
-    """
+def leaves(schema: T.StructType, without: list[str] = (), finite: bool = False) -> Column:
+    """Every scalar leaf of a row as an array of (key, value as text), in the order of the fields, of map entries and of list items;
+    a list has its length before its items, under ``.n``. With ``finite`` NaN and infinities count as missing."""
     pair = "array<struct<key:string,value:string>>"
 
-    def leaf(key: Column, col: Column) -> Column:
+    def leaf(key: Column, col: Column, dtype: T.DataType | None = None) -> Column:
+        if finite and isinstance(dtype, (T.DoubleType, T.FloatType)):
+            col = F.when(F.abs(col) < float("inf"), col)
         return F.array(F.struct(key.alias("key"), col.cast("string").alias("value"))).cast(pair)
 
     def walk(col: Column, dtype: T.DataType, key: Column) -> Column:
@@ -68,10 +68,17 @@ def flatten_long(df: DataFrame, id_cols: list[str]) -> DataFrame:
             items = F.transform(F.map_entries(col), lambda e: walk(e["value"], dtype.valueType,
                                                                    F.concat(key, F.lit("."), e["key"].cast("string"))))
             return F.when(col.isNull(), leaf(key, F.lit(None))).otherwise(F.flatten(items))
-        return leaf(key, col)
+        return leaf(key, col, dtype)
+
+    return F.concat(*[walk(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name)) for f in schema.fields if f.name not in without])
 
-    parts = [walk(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name)) for f in df.schema.fields if f.name not in id_cols]
-    return (df.select(*id_cols, F.explode(F.concat(*parts)).alias("kv"))
+
+def flatten_long(df: DataFrame, id_cols: list[str]) -> DataFrame:
+    """(ids, key, value): every scalar leaf of every row as text, list items by position plus the list's ``.n``.
+
+    The leaves are gathered into one array per row and exploded, so this is a narrow job whatever the nesting.
+    """
+    return (df.select(*id_cols, F.explode(leaves(df.schema, id_cols)).alias("kv"))
             .select(*id_cols, F.col("kv.key").alias("key"), F.col("kv.value").alias("value")))
 
 

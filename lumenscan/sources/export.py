@@ -1,14 +1,18 @@
 """Exports and the result log."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.fs as pfs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenscan.functions import numeric as N
 from lumenscan.functions import status as S
 from lumenscan.functions import text as X
-from lumenscan.functions.records import flat_columns
+from lumenscan.functions.records import flat_columns, leaves
 from lumenscan.operators.matching import broadcast_if_small
+from lumenscan.operators.sequencing import positions
+from lumenscan.sources.scan_source import opened
 
 
 def technical_table(df: DataFrame, analysis: str, maps: dict[str, list[str]] | None = None, drop=("r", "stream")) -> DataFrame:
@@ -27,8 +31,8 @@ def _cells(df: DataFrame) -> DataFrame:
 
 
 def export_technical(df: DataFrame, path: str, analysis: str, maps: dict[str, list[str]] | None = None, fmt: str = "csv") -> DataFrame:
-    """Write the technical table as many CSV parts (CRLF rows) or as Parquet. Nothing is gathered into one file here;
-    ``merge_parts`` makes the single file some people want."""
+    """Write the technical table as many CSV parts (CRLF rows), each with a header, or as Parquet. ``export_wide`` writes rows whose
+    keys differ, in order, as one file's parts."""
     table = technical_table(df, analysis, maps)
     if fmt == "parquet":
         table.write.mode("overwrite").parquet(path)
@@ -78,27 +82,64 @@ def export_readable(df: DataFrame, path: str, **options) -> DataFrame:
     return table
 
 
-def merge_parts(spark, parts: str, target: str) -> None:
-    """Optional last step for spreadsheet users: join CSV parts into one file with a byte-order mark and one header.
-    The driver copies bytes in 64 KB pieces, so use it for a report, not for a whole archive."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    src, dst = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(target)
-    fs = src.getFileSystem(conf)
-    out = fs.create(dst, True)
-    try:
-        out.write(bytearray(b"\xef\xbb\xbf"))
-        names = sorted(s.getPath().toString() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-"))
-        for i, name in enumerate(names):
-            stream = fs.open(jvm.org.apache.hadoop.fs.Path(name))
-            try:
-                if i:                                    # the header ends at the first line feed
-                    while stream.read() not in (10, -1):
-                        pass
-                jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
-            finally:
-                stream.close()
-    finally:
-        out.close()
+MAX_COLUMNS = 20_000
+
+
+def first_seen_keys(rows: DataFrame, pos: str = "pos", cells: str = "cells", limit: int = MAX_COLUMNS) -> list[str]:
+    """All keys of all rows, in the order in which a reader of the rows from the first to the last would meet them.
+
+    A key's place is the smallest (row, place in the row) that it has anywhere: a minimum, so tasks combine it before the shuffle.
+    """
+    seen = rows.select(pos, F.posexplode(cells).alias("i", "c")).groupBy(F.col("c.key").alias("key")).agg(F.min(F.struct(pos, "i")).alias("at"))
+    found = seen.orderBy("at").limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} different columns")
+    return [r.key for r in found]
+
+
+def csv_cell(c: Column) -> Column:
+    quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(F.rlike(c, F.lit(r'[",\r\n]')), quoted).otherwise(F.coalesce(c, F.lit("")))
+
+
+def export_wide(df: DataFrame, path: str, order: list[Column], drop=("r", "stream")) -> list[str]:
+    """Rows of any nesting as CSV (CRLF, byte-order mark), one column per dotted key in first-seen order; returns the header.
+
+    Rows are dealt by ranges of `order`, and the header stands before the first row only: the parts, in the order of their names,
+    are one file, which ``one_file`` joins. A row that lacks a key has an empty cell.
+    """
+    base = df.drop(*[c for c in drop if c in df.columns])
+    cells = base.select(*[o.alias(f"o{i}") for i, o in enumerate(order)], leaves(base.schema, finite=True).alias("cells"))
+    rows = positions(cells, [F.col(f"o{i}") for i in range(len(order))], out="pos").select("pos", "cells")
+    keys = first_seen_keys(rows)
+    # of a repeated key, the last value counts
+    own = F.map_from_entries(F.filter("cells", lambda c, i: ~F.exists(F.slice("cells", i + 2, F.greatest(F.size("cells") - i - 1, F.lit(0))), lambda d: d["key"] == c["key"])))
+    line = F.array_join(F.transform(F.array(*map(F.lit, keys)), lambda k: csv_cell(F.try_element_at("own", k))), ",")
+    head = ",".join('"' + k.replace('"', '""') + '"' if any(x in k for x in ',"\r\n') else k for k in keys)
+    text = rows.select("pos", own.alias("own")).select("pos", line.alias("line"))
+    text = text.repartitionByRange("pos").sortWithinPartitions("pos")
+    text = text.select(F.when(F.col("pos") == 1, F.concat(F.lit("\ufeff" + head + "\r\n"), "line")).otherwise(F.col("line")).alias("value"))
+    text.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    return keys
+
+
+def one_file(spark: SparkSession, parts: str, target: str) -> int:
+    """The parts of ``export_wide`` as one file; one task copies their bytes in pieces of 1 MB, the driver none. Returns its length."""
+    def copy(batches):
+        for b in batches:
+            for source, to in zip(b.column("parts").to_pylist(), b.column("target").to_pylist()):
+                fs, root = opened(source)
+                other, name = opened(to)
+                size = 0
+                with other.open_output_stream(name) as out:
+                    for p in sorted(i.path for i in fs.get_file_info(pfs.FileSelector(root)) if i.base_name.startswith("part-")):
+                        with fs.open_input_stream(p) as f:
+                            while piece := f.read(1 << 20):
+                                out.write(piece)
+                                size += len(piece)
+                yield pa.RecordBatch.from_pydict({"size": [size]})
+
+    return spark.createDataFrame([(parts, target)], "parts string, target string").coalesce(1).mapInArrow(copy, "size bigint").first().size
 
 
 def result_key(df: DataFrame, engine: str, dependencies: dict[str, str]) -> Column:

@@ -163,13 +163,50 @@ def test_exports(spark, tmp_path):
     assert t.columns == ["scan_id", "v", "w", "l", "l.n", "c.x", "analysis"]
     text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "csv").glob("part-*")))
     assert "\r\n" in text and "1.23456789012345" in text and "NaN" not in text
-    EX.merge_parts(spark, str(tmp_path / "csv"), str(tmp_path / "one.csv"))
-    one = (tmp_path / "one.csv").read_bytes()
-    assert one.startswith(b"\xef\xbb\xbfscan_id,") and one.count(b"scan_id,v") == 1 and one.count(b"\r\n") == 3
     m = json.loads(EX.manifest(df.withColumn("class", F.lit("std")), "zooms", {"m@1": "h"}).first().manifest)
     assert m["dependencies"] == {"m@1": "h"} and m["effective_configuration"]["instrument_class"] == "std" and m["result_revision"] == 1
 
 
+def by_hand(records):
+    """A CSV whose columns are the dotted keys in the order in which the rows show them."""
+    import csv
+    import io
+
+    def flat(v, key):
+        if isinstance(v, dict):
+            return [x for k, w in v.items() for x in flat(w, f"{key}.{k}" if key else k)]
+        if isinstance(v, list):
+            return [(f"{key}.n", len(v))] + [x for i, w in enumerate(v) for x in flat(w, f"{key}.{i}")]
+        return [(key, v)]
+
+    rows = [dict(flat(r, "")) for r in records]
+    columns = list(dict.fromkeys(k for r in rows for k in r))
+    text = lambda v: "" if v is None or v != v or v in (float("inf"), float("-inf")) else str(v).lower() if isinstance(v, bool) else str(v)
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\r\n")
+    w.writerow(columns)
+    for r in rows:
+        w.writerow([text(r.get(c)) for c in columns])
+    return columns, out.getvalue()
+
+
+def test_wide_export_has_the_keys_of_all_rows_in_first_seen_order(spark, tmp_path):
+    keys = ["wc2045", "wc1500", "F05", "z,1", 'q"2', "late"]
+    records = [{"path": f"p{i:03d}", "ok": i % 2 == 0, "v": float("nan") if i % 5 == 0 else i + 0.5, "m": {k: {"value": i * 0.25, "note": f'a "b", {j}\nc'} for j, k in enumerate(keys) if (i * 7 + j * 3) % 11 < 4 and (k != "late" or i > 90)},
+                "l": [i, i + 1][:i % 3], "s": {"x": None if i % 4 else i}} for i in range(120)]
+    # maps with the order of their entries kept
+    schema = "path string, ok boolean, v double, m array<struct<key:string,value:struct<value:double,note:string>>>, l array<int>, s struct<x:int>, r array<double>"
+    rows = [(*({**r, "m": list(r["m"].items())}).values(), [1.0]) for r in reversed(records)]
+    df = spark.createDataFrame(rows, schema).repartition(7).withColumn("m", F.map_from_entries("m"))
+    columns, want = by_hand(records)
+    assert EX.export_wide(df, str(tmp_path / "wide"), [F.col("path")]) == columns and len(columns) > 14
+    size = EX.one_file(spark, str(tmp_path / "wide"), str(tmp_path / "one.csv"))
+    got = (tmp_path / "one.csv").read_bytes()
+    assert size == len(got) and got == b"\xef\xbb\xbf" + want.encode()
+    with pytest.raises(ValueError, match="more than 3"):
+        EX.first_seen_keys(spark.createDataFrame([(1, [(str(i), "v") for i in range(4)])], "pos long, cells array<struct<key:string,value:string>>"), limit=3)
+
+
 def simple_score(df):
     return Q.acquisition(df.withColumn("class", F.lit("std")).withColumn("class_source", F.lit("user"))).select(
         "path", "file", "input_sha256", "class", "class_source", "reject_reason", F.col("acquisition.B4.mean_R").alias("mean"))
