@@ -5,14 +5,18 @@ randomised byte values modulo 2**64 with a final mix; a whole slice of text is h
 """
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenscan.sources.shared import stored  # noqa: F401  (a written table ends a plan here too)
+
 SLICE = 1 << 20  # bytes of text hashed at once; temporaries take some 40 times that
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -166,26 +170,33 @@ def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder; a context without one gets the folder only in local tests."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            base = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-            spark.sparkContext.setCheckpointDir(base)
-        else:
-            base = held.get()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def trim() -> None:
+    """Give freed memory back to the system. A worker is used again by later stages and would keep the peak of each of them."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or the first of `name_`, `name__`, ... that is no column of `df` (names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def apart(*scratch: str):
+    """For a function of a DataFrame that adds and drops columns of these names: columns that have them already step aside."""
+    def around(f):
+        @wraps(f)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            clash = {c: free_name(docs, f"{c}_kept") for c in docs.columns if c.lower() in scratch}
+            if not clash:
+                return f(docs, *args, **kwargs)
+            return f(docs.withColumnsRenamed(clash), *args, **kwargs).withColumnsRenamed({v: k for k, v in clash.items()})
+        return run
+    return around
 
 
 def crc(data: bytes) -> int:

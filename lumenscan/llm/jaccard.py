@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenscan.llm.blocks import grams, mix, partitions, row_groups, run_starts, stored, text_bytes, words
+from lumenscan.llm.blocks import apart, grams, mix, partitions, row_groups, run_starts, stored, text_bytes, words
 from lumenscan.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -273,6 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return plain.unionByName(rest)
 
 
+@apart("_ref")
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are alone or the first of their component: smallest id, nulls last, then the earliest row.
 

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenscan.llm.blocks import stored
+from lumenscan.llm.blocks import apart, stored
 
 # Titles by gender, and name stems by gender and script.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
@@ -187,6 +187,7 @@ def render(kind: Column, raw: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("phone", "card", "bank", "social"), filled).when(kind.isin("mail", "secret", "address6"), cased).when(kind == "address", surrogate).otherwise(F.initcap(surrogate))
 
 
+@apart("_id", "_tkey", "_hash", "_new", "_known")
 def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with surrogates in the text, and n_entities: the mentions replaced."""
     src = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tkey"), F.col(text_col).alias("_text"), names(F.col(text_col)).alias("_known"))
