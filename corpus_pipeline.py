@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenscan.llm import jaccard, lines, packing, quality, surrogates
-from lumenscan.llm.blocks import crc_mod, stored
+from lumenscan.llm.blocks import crc_mod, free_name, stored
 from lumenscan.llm.queries import SURROGATE_KEY
 
 LEAST = 0.7     # score from which a document counts as good
@@ -26,7 +26,8 @@ LEAST = 0.7     # score from which a document counts as good
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, crc_mod(F.col("doc_id"), 4) != 2)
-    return quality.with_score(docs, model, name="_quality").where(F.col("_quality") >= LEAST).drop("_quality")
+    name = free_name(docs, "_quality")
+    return quality.with_score(docs, model, name=name).where(F.col(name) >= LEAST).drop(name)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
