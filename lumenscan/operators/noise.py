@@ -337,7 +337,12 @@ def implied_sd(df: DataFrame, docs: list[dict], factors: dict[str, float] | None
     through recorded terms, and only for the scan as measured.
     """
     from lumenscan.operators.readings import median_of
-    pairs = []
+    pairs, extra = [], []
+    size = next((c for c in ("n_ch", "n") if c in df.columns), None)
+    placed = bool(recorded) and size is not None and {"wl_start", "wl_step", "joins_nm"} <= set(df.columns)
+    if placed:          # recorded terms hold for scans whose N2 windows lie inside one detector segment
+        extra = [c for c in ("segs", "_n") if c not in df.columns]
+        df = df.withColumn("_n", F.col(size)).withColumn("segs", _segments(F.col(size)))
     for doc in docs:
         comp = F.lit(None).cast("map<string,double>")
         if doc["id"] in (recorded or {}):
@@ -347,10 +352,16 @@ def implied_sd(df: DataFrame, docs: list[dict], factors: dict[str, float] | None
             for x in sq[1:]:
                 total = total + x
             fixed = F.coalesce(corrected, F.lit(False)) if corrected is not None else F.lit(False)
-            sd = F.when(~fixed, F.sqrt(total))
-            why = F.when(fixed, F.lit("non-linear model (its recorded gain holds for the scan as measured only)")).otherwise(F.lit(NOISE_UNKNOWN))
+            lost = [F.when(_holder(F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))).isNull(), F.lit(f"{UNAVAILABLE} ({doc['id']}: no detector segment of the scan holds the N2 window {lo:g}-{hi:g} nm)"))
+                    for lo, hi in (t["window_nm"] for t in terms)] if placed else []
+            missing = F.coalesce(*lost, F.lit(None).cast("string"))
+            sd = F.when(~fixed & missing.isNull(), F.sqrt(total))
+            why = F.when(fixed, F.lit("non-linear model (its recorded gain holds for the scan as measured only)")).otherwise(F.coalesce(missing, F.lit(NOISE_UNKNOWN)))
         else:
             try:
+                kind = ((doc.get("output") or {}).get("y_transform") or {}).get("type", "none")
+                if kind != "none":      # an SD on the fitted scale is not one of the value
+                    raise NotLinear(f"the response is fitted as {kind}")
                 parts = fold_model(doc)
             except NotLinear as e:
                 parts, why = [], F.lit(f"non-linear model ({e})")
@@ -370,7 +381,7 @@ def implied_sd(df: DataFrame, docs: list[dict], factors: dict[str, float] | None
         pairs += [F.lit(doc["id"]), F.struct(sd.alias("sd"), comp.alias("component_sd"),
                                              F.when(sd.isNotNull(), S.assessed()).otherwise(S.not_assessed(why)).alias("status"),
                                              F.lit(doc["id"] not in no_b6).alias("b6"))]
-    return df.withColumn(out, F.create_map(*pairs))
+    return df.withColumn(out, F.create_map(*pairs)).drop(*extra)
 
 
 def band_requests(bands: dict, kernel: dict = KERNEL_E31, correlation_nm: float = CORRELATION_NM) -> list[GainRequest]:

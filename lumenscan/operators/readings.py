@@ -140,8 +140,9 @@ def model_regions(doc: dict, step: float = 1.0) -> list[tuple[float, float, int]
     return [(lo, hi, h) for lo, hi in contiguous(doc["features"]["wavelengths_nm"], step)]
 
 
-def fold_model(doc: dict, step: float = 1.0) -> list[tuple[str | None, Functional]]:
-    """(component, functional) pairs of a model whose chain is absorbance, then smoothing and crops, then a sum."""
+def fold_model(doc: dict, step: float = 1.0, features: bool = False) -> list[tuple[str | None, Functional]]:
+    """(component, functional) pairs of a model whose chain is absorbance, then smoothing and crops, then a sum; with ``features`` a
+    pair for each feature the sum is made of."""
     chain = doc.get("preprocessing", [])
     if not chain or chain[0]["op"] != "absorbance":
         raise NotLinear("its chain does not start in absorbance")
@@ -162,6 +163,8 @@ def fold_model(doc: dict, step: float = 1.0) -> list[tuple[str | None, Functiona
         sup = tuple((lo - h * step, hi + h * step) for lo, hi in contiguous(wls, step))
         return Functional(name, clip, _runs(points, step), float(offset), sup, step)
 
+    if features:
+        return [(None, fold(f"{doc['id']}@{w:g}", [w], [1.0], 0.0)) for w in doc["features"]["wavelengths_nm"]]
     if doc["kind"] == "regression":
         r = doc["regression"]
         wls, b = doc["features"]["wavelengths_nm"], r["coefficients"]
@@ -254,6 +257,47 @@ class FirstCrossing:
     fraction: float
 
 
+@dataclass(frozen=True)
+class Domain:
+    """How far a scan's features are from those a model was trained on: T2 of its scores, Q of the rest, and the larger of both
+    against their limits, as readings ``<name>:T2``, ``:Q`` and ``:ratio``."""
+    name: str
+    features: tuple[Functional, ...]
+    centre: np.ndarray
+    weights: np.ndarray         # features x components
+    loadings: np.ndarray
+    score_var: np.ndarray
+    t2_limit: float
+    q_limit: float
+
+    def read(self, features: np.ndarray) -> dict[str, np.ndarray]:
+        e = features - self.centre
+        t = e @ self.weights
+        t2 = (t * t / self.score_var).sum(axis=1)
+        rest = e - t @ self.loadings.T
+        q = (rest * rest).sum(axis=1)
+        return {f"{self.name}:T2": t2, f"{self.name}:Q": q, f"{self.name}:ratio": np.maximum(t2 / self.t2_limit, q / self.q_limit)}
+
+
+def domain_spec(doc: dict) -> Domain | None:
+    """The domain of a linear model as a part of the kernel pass; None if the model has none."""
+    d = doc.get("domain") or {}
+    if d.get("method") != "pls_t2_q":
+        return None
+    centre = d.get("x_center") or (doc.get("regression") or {}).get("x_center")
+    column = lambda key: np.array([c[key] for c in d["components"]], float)
+    return Domain(doc["id"], tuple(f for _, f in fold_model(doc, features=True)), np.asarray(centre, float), column("weights_r").T, column("loadings_p").T,
+                  column("score_var"), float(d["t2_limit"]), float(d["q_limit"]))
+
+
+def domain_column(doc: dict, readings: str) -> Column:
+    """struct(T2, Q, ratio, level) of a model from the readings of the kernel pass."""
+    x = lambda key: N.finite(F.try_element_at(readings, F.lit(f"{doc['id']}:{key}")))
+    levels = (doc.get("domain") or {}).get("levels")
+    level = N.level_label(x("ratio"), levels) if levels else F.lit(None).cast("string")
+    return F.struct(x("T2").alias("T2"), x("Q").alias("Q"), x("ratio").alias("ratio"), level.alias("level"))
+
+
 def _position(wl: np.ndarray, lam: float) -> int | None:
     i = int(np.argmin(np.abs(wl - lam)))
     return i if abs(wl[i] - lam) <= WL_TOL else None
@@ -277,6 +321,14 @@ class _Block:
                 W = np.array(dense)
                 used = np.flatnonzero(np.any(W != 0, axis=0))
                 self.groups.append((clip, [f.name for f in fs], used, W[:, used], np.array([f.offset for f in fs])))
+        self.domains = []
+        for d in (d for d in spec if isinstance(d, Domain)):
+            try:
+                W = np.array([f.dense(wl) for f in d.features])
+            except OperatorError:
+                continue
+            used = np.flatnonzero(np.any(W != 0, axis=0))
+            self.domains.append((d, d.features[0].clip, used, W[:, used].T))
         self.shapes = []
         self.wl = wl
         self.plain = []
@@ -312,6 +364,9 @@ class _Block:
             for i in dirty:                  # a NaN channel spoils only the readings that read it
                 values[i] = [a[i, w != 0] @ w[w != 0] for w in W] + offset
             out.update({n: values[:, k] for k, n in enumerate(names)})
+        for d, clip, used, W in self.domains:
+            with np.errstate(invalid="ignore"):
+                out.update(d.read(to_absorbance(X[:, used], clip) @ W))
         for s, ends in self.plain:
             level = X[:, ends[0]:ends[1] + 1].mean(axis=1)
             if isinstance(s, ReflectanceMean):

@@ -21,6 +21,7 @@ from lumenscan.operators import noise as Z
 from lumenscan.operators import quality as Q
 from lumenscan.operators import readings as R
 from lumenscan.operators import verdict as V
+from lumenscan.sources.parameters import noise_parameters
 from lumenscan.rulebook import BANDS, INSTRUMENTS, PROFILE_COLLAGEN, RULES, STANDARD_CLASS
 
 
@@ -55,6 +56,12 @@ class Screening:
         return out
 
 
+def from_parameters(p, **more) -> Screening:
+    """A screening under loaded parameter documents (``load_params``), the noise document included."""
+    noise = noise_parameters(p.noise or {})
+    return Screening(**{**dict(models=p.models, corrections=p.corrections, profiles=p.profiles, rules=p.rules, bands=p.bands, projections=p.projections, instruments=p.instruments), **noise, **more})
+
+
 def digest(value) -> str:
     """SHA-256 of parameters as JSON with sorted keys; arrays as lists."""
     plain = lambda v: v.tolist() if hasattr(v, "tolist") else sorted(v) if isinstance(v, (set, frozenset)) else str(v)
@@ -115,7 +122,9 @@ def score(scans: DataFrame, cfg: Screening) -> DataFrame:
     as_measured = {s["model_id"] for s in cfg.specs() if s.get("reads") == "as_measured"}
     spec = K.band_spec(rules, cfg.bands, cfg.projections) + K.sign_spec(rules) + K.bone_spec(cfg.prototypes, cfg.prototypes_truncated, rules)
     folded = [f for d in linear for _, f in R.fold_model(d)]
-    raw = [f for d in linear if d["id"] in as_measured for _, f in R.fold_model(d)] + K.sign_spec(rules)
+    domains = {d["id"]: x for d in linear if (x := R.domain_spec(d)) is not None}
+    raw = [f for d in linear if d["id"] in as_measured for _, f in R.fold_model(d)] + [x for i, x in domains.items() if i in as_measured] + K.sign_spec(rules)
+    folded += [x for i, x in domains.items() if i not in as_measured]
     unfitted = any(not M.settings_of(d)["fitted"] for d in cfg.corrections)
     raw_spec = raw if (unfitted or as_measured) else []
     df = _other_models(df, other, as_measured, cfg)
@@ -147,6 +156,13 @@ def score(scans: DataFrame, cfg: Screening) -> DataFrame:
     mtype = "map<string,struct<value:double,linear:double,components:map<string,double>>>"
     df = df.withColumns({"models": F.create_map(*items_m).cast(mtype) if items_m else F.create_map().cast(mtype),
                          "model_status": F.create_map(*items_s) if items_s else F.create_map().cast("map<string,struct<state:string,reason:string>>")})
+    shape, note_above = "struct<T2:double,Q:double,ratio:double,level:string>", next(iter(cfg.profiles.values()), {}).get("domain_note_ratio_above")
+    far = {d["id"]: F.when(pairs_e[i]["state"] == "assessed", R.domain_column(d, "readings_raw" if d["id"] in as_measured else "readings")) for i, d in enumerate(linear) if d["id"] in domains}
+    far.update({d["id"]: F.col(f"_o{i}")["domain"] for i, d in enumerate(other) if (d.get("domain") or {}).get("method")})
+    # the note stands beside a value whose spectrum is less familiar to its model than the profile allows
+    noted = {m: N.gt(x["ratio"], note_above) if note_above is not None else F.lit(False) for m, x in far.items()}
+    df = df.withColumns({"model_domain": F.create_map(*[x for m, v in far.items() for x in (F.lit(m), v)]).cast(f"map<string,{shape}>") if far else F.create_map().cast(f"map<string,{shape}>"),
+                         "domain_notes": F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(m)) for m, v in noted.items()])).cast("array<string>")})
     df = df.drop(*[f"_m{i}" for i in range(len(linear))], *[f"_o{i}" for i in range(len(other))])
     if any(M.settings_of(d)["offsets"] for d in cfg.corrections):
         df = M.add_reader_offsets(df, docs, cfg.corrections)

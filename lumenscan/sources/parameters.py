@@ -132,7 +132,9 @@ def load_params(spark: SparkSession, paths: list[str], pins: dict[str, str] | No
     gate = out.rules["acquisition"].get("B6b_signs_gate", {})
     own = gate.get("uncorrected")
     if own:         # the acquisition report shows one cut: the lowest of the signs'
-        gate["uncorrected_n2_above"] = min(float(e["n2_above"]) for e in own.values() if e)
+        cuts = [float(e["n2_above"]) for e in own.values() if e]
+        if cuts:
+            gate["uncorrected_n2_above"] = min(cuts)
     for key in ("default_joins_nm", "join_jump_clear", "join_jump_min"):
         out.rules["acquisition"].setdefault(key, RULES["acquisition"][key])
     for key in ("B8_splice_step", "B2_saturation"):
@@ -147,6 +149,14 @@ def load_params(spark: SparkSession, paths: list[str], pins: dict[str, str] | No
     return out
 
 
+def noise_parameters(doc: dict) -> dict:
+    """What a noise document says about models: factors of consensus models, recorded terms, and models without the noise check."""
+    models = doc.get("models") or {}
+    return {"consensus_factors": {m: float(v["factor"]) for m, v in (doc.get("consensus") or {}).items()},
+            "recorded_gains": {m: v["recorded"]["terms"] for m, v in models.items() if (v or {}).get("recorded")},
+            "no_b6": tuple(sorted(m for m, v in models.items() if (v or {}).get("b6") is False))}
+
+
 def band_parameters(doc: dict) -> tuple[dict, dict]:
     bands = doc["bands"]
     if isinstance(bands, list):

@@ -134,3 +134,54 @@ def test_every_part_of_the_configuration_counts_in_the_result_key(run):
     changed = [replace(cfg, rules=rules), replace(cfg, profiles={}), replace(cfg, models={**cfg.models, model["id"]: {**model, "note": "x"}}), replace(cfg, bands={}), replace(cfg, target="other")]
     assert cfg.dependencies() == base == replace(cfg).dependencies()
     assert all(c.dependencies() != base for c in changed)
+
+
+def far_model(mid):
+    rng = np.random.default_rng(4)
+    d = regression(mid, 2100, 2120)
+    p = len(d["features"]["wavelengths_nm"])
+    r, _ = np.linalg.qr(rng.standard_normal((p, 2)))
+    return {**d, "domain": {"method": "pls_t2_q", "x_center": (1e-6 * rng.standard_normal(p)).tolist(), "t2_limit": 3.0, "q_limit": 1e-13, "levels": [{"label": "near", "below": 1.0}, {"label": "far"}],
+                            "components": [{"weights_r": r[:, k].tolist(), "loadings_p": (r[:, k] * 1.1).tolist(), "score_var": 2e-11} for k in range(2)]}}
+
+
+def test_domain_of_linear_models_comes_from_the_kernel_pass(spark, run):
+    X, df, cfg, _ = run
+    d = far_model("far")
+    profile = {**PROFILE, "models": PROFILE["models"] + [{"key": "far", "model_id": "far", "role": "published", "shown_for": "every_scan"}], "domain_note_ratio_above": 3.0}
+    one = replace(cfg, models={**cfg.models, "far": d}, profiles={"radiocarbon": profile})
+    rows = {r.scan_id: r for r in score(df.where("scan_id IN ('std', 'loud', 'panel')"), one).select("scan_id", "model_domain", "domain_notes", "models").collect()}
+    dom = d["domain"]
+    R, P = (np.array([c[k] for c in dom["components"]]).T for k in ("weights_r", "loadings_p"))
+    for k in ("std", "loud"):
+        e = derivative(X[k], WL, 31, 3, 1e-6, 1.0)[1750:1771] - np.array(dom["x_center"])
+        t = e @ R
+        t2, q = (t * t / 2e-11).sum(), ((e - P @ t) ** 2).sum()
+        got = rows[k].model_domain["far"]
+        assert got.T2 == pytest.approx(t2, rel=1e-7) and got.Q == pytest.approx(q, rel=1e-7) and got.ratio == pytest.approx(max(t2 / 3.0, q / 1e-13), rel=1e-7)
+        assert got.level == ("near" if got.ratio < 1 else "far") and rows[k].domain_notes == (["far"] if got.ratio > 3 else [])
+        assert "ryder" not in rows[k].model_domain
+    assert rows["loud"].domain_notes == ["far"] and rows["panel"].model_domain["far"] is None and rows["panel"].domain_notes == []
+
+
+def test_noise_document_reaches_the_screening(spark, run):
+    from lumenscan.sources.parameters import ParamTables, noise_parameters
+    from lumenscan.plans.screening import from_parameters
+    doc = {"consensus": {"cons3": {"factor": 1.1}}, "models": {"s1": {"recorded": {"terms": [{"window_nm": [2000, 2100], "gain": 2.0}]}}, "ryder": {"b6": False}, "x": {"note": "n"}}}
+    assert noise_parameters(doc) == {"consensus_factors": {"cons3": 1.1}, "recorded_gains": {"s1": [{"window_nm": [2000, 2100], "gain": 2.0}]}, "no_b6": ("ryder",)}
+    assert noise_parameters({}) == {"consensus_factors": {}, "recorded_gains": {}, "no_b6": ()}
+    _, df, cfg, got = run
+    p = ParamTables(noise=doc)
+    made = from_parameters(p, models=cfg.models, profiles=cfg.profiles)
+    assert made.consensus_factors == {"cons3": 1.1} and made.no_b6 == ("ryder",) and made.models is cfg.models
+
+
+def test_refused_noise(spark):
+    n2 = F.create_map(F.lit("2000-2100"), F.lit(3.0))
+    gains = F.create_map().cast("map<string,struct<terms:array<struct<lo:double,hi:double,gain:double>>,base:double,reason:string>>")
+    df = spark.createDataFrame([("ok", 350.0, 1.0, 2151, [1000.0, 1800.0]), ("join", 350.0, 1.0, 2151, [1000.0, 2050.0]), ("short", 350.0, 1.0, 1500, [1000.0])], "scan_id string, wl_start double, wl_step double, n_ch int, joins_nm array<double>").withColumns({"n2": n2, "gains": gains})
+    docs = [SNV, {**regression("logged", 2030, 2040), "output": {"y_transform": {"type": "log10"}}}]
+    out = {r.scan_id: r.model_sd for r in Z.implied_sd(df, docs, recorded={"s1": [{"window_nm": [2000, 2100], "gain": 2.0}]}).collect()}
+    assert out["ok"]["s1"].sd == pytest.approx(6.0) and out["ok"]["s1"].status.state == "assessed"
+    assert out["join"]["s1"].sd is None and "2000-2100" in out["join"]["s1"].status.reason and out["short"]["s1"].sd is None
+    assert out["ok"]["logged"].sd is None and "log10" in out["ok"]["logged"].status.reason
