@@ -171,7 +171,7 @@ def test_noise_document_reaches_the_screening(spark, run):
     assert noise_parameters(doc) == {"consensus_factors": {"cons3": 1.1}, "recorded_gains": {"s1": [{"window_nm": [2000, 2100], "gain": 2.0}]}, "no_b6": ("ryder",)}
     assert noise_parameters({}) == {"consensus_factors": {}, "recorded_gains": {}, "no_b6": ()}
     _, df, cfg, got = run
-    p = ParamTables(noise=doc)
+    p = ParamTables(documents=None, noise=doc)
     made = from_parameters(p, models=cfg.models, profiles=cfg.profiles)
     assert made.consensus_factors == {"cons3": 1.1} and made.no_b6 == ("ryder",) and made.models is cfg.models
 
