@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenscan.llm.blocks import crc_mod, mix, row_groups, run_starts, text_bytes, words
+from lumenscan.llm.blocks import crc_mod, mix, row_groups, run_starts, text_bytes, trim, words
 
 BITS, DIMS, SAMPLE, EPOCHS, RATE, SIZES, SEED = 18, 10, 4000, 5, 0.5, (3, 4, 5), 3
 BUCKETS = 1 << BITS
+GROUP_BYTES = 1 << 20     # bytes of text whose arrays (some 100 times that) a task holds at once
 _END = 0            # bucket of the end sign; the next ones are those of the patterns
 LAGS = (1, 2, 3)
 _SHIFT = np.uint64(64 - BITS)
@@ -113,7 +114,7 @@ def margins(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndar
     """Log odds of label 1 of every row."""
     n = len(offsets) - 1
     result = np.zeros(n)
-    for a, b in row_groups(offsets):
+    for a, b in row_groups(offsets, GROUP_BYTES):
         part, off = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
         h, start, end, inverse, row = distinct_words(part, off)
         who, what = grams_of(part, start, end)
@@ -144,9 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, condition=None, limit: int = SAMPLE)
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())], ["doc_id", "quality", "at", "w"])
 
     def learn(batches):
-        got = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)))]
+        got = [(d, y, np.frombuffer(a, np.int32), np.frombuffer(w, np.float32)) for b in batches for d, y, a, w in zip(*(b.column(i).to_pylist() for i in range(4)))]
         got.sort(key=lambda r: r[0])
-        model = train([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], np.array([int(r[1] > 0) for r in got])) if got else np.zeros(BUCKETS, np.float32)
+        model = train([r[2:] for r in got], np.array([int(r[1] > 0) for r in got])) if got else np.zeros(BUCKETS, np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([model.astype(np.float32).tobytes()], pa.binary())], ["model"])
 
     features = rows.mapInArrow(featurize, "doc_id bigint, quality int, at binary, w binary")
@@ -162,6 +163,7 @@ def with_score(docs: DataFrame, model: np.ndarray, text_col: str = "text", name:
         for b in batches:
             data, off = text_bytes(b.column(at))
             m = margins(data, off, model)
+            trim()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(m, -500, 500))), pa.float64())], [*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
