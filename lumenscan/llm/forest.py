@@ -2,14 +2,16 @@
 
 Distinct vectors are dealt into shards of about SHARD rows. A shard's forest has TREES trees; a tree gives every vector a
 string of BITS signs of random projections and is stored as the array of these strings in order. A query descends in every
-tree to the vectors that share its longest prefix, then all trees ascend together, one bit at a time, until the shared
-prefixes hold at least SHARE of the shard; those candidates are scored exactly. Shards and blocks of queries meet in a task
+tree to its longest prefix match, then all trees ascend together from the longest of these, one bit at a time, until their prefixes
+hold MEETINGS times as many vectors as the shard has. Of these, the SHARE of the shard (k + 1 at least) that most trees hold, with
+all ties, are scored exactly. Shards and blocks of queries meet in a task
 of their own, so no task sees all vectors or all queries, and per query and shard only the best k rows leave it.
 
 Vectors are extended by sqrt(R^2 - |x|^2), R the largest norm, for hashing, so that the largest inner product is the
 smallest angle whatever the norms are.
 
-Recall on random unit vectors of 64 dimensions (no structure, the hardest case) is 0.93; with SHARE = 1 the search is exact.
+Recall on random unit vectors of 64 dimensions (no structure, the hardest case) is 0.92 among 2,000 or 3,000 rows, 0.95 among 4,096, 0.97
+among 8,192 and 0.99 among 40,960, with 31 % of the rows scored; with SHARE = 1 the search is exact.
 
 Copies of a vector are indexed once with their k + 1 smallest ids, which is exact: a query can return no more of them. Ids or
 vectors that are null, of another length than most, zero, or with null or non-finite components take no part. Ties go to the
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, TREES, BITS, SHARE, BLOCK, SEED = 4096, 64, 60, 0.5, 2048, 20
+SHARD, TREES, BITS, MEETINGS, SHARE, BLOCK, SEED = 4096, 64, 60, 6, 0.25, 2048, 20
 FOUND = "query_id bigint, ids array<bigint>, scores array<double>"
 
 
@@ -52,34 +54,54 @@ class Forest:
                 out[a:a + 1024] = out[a:a + 1024] << 1 | sign[:, :, b]
         return out
 
-    def ranges(self, q: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Per query and tree the range of its array that shares the prefix at which all trees together hold `least`."""
-        s = self._strings(np.hstack([q, np.zeros((len(q), 1))]))
-        n, open_ = len(self.x), np.ones(len(q), bool)
-        lo, hi = np.zeros((len(q), self.trees), np.int64), np.full((len(q), self.trees), n, np.int64)
-        for depth in range(1, self.bits + 1):       # the descent stops where one more bit would leave too few
-            at = np.flatnonzero(open_)
-            if not len(at):
-                break
-            shift = self.bits - depth
-            low = s[at] >> shift << shift
-            a, b = np.empty_like(low), np.empty_like(low)
-            for t in range(self.trees):
-                a[:, t] = np.searchsorted(self.keys[:, t], low[:, t])
-                b[:, t] = np.searchsorted(self.keys[:, t], low[:, t] + (1 << shift))
-            enough = (b - a).sum(1) >= least
-            lo[at[enough]], hi[at[enough]] = a[enough], b[enough]
-            open_[at[~enough]] = False
-        return lo, hi
+    def depths(self, s: np.ndarray) -> np.ndarray:
+        """Descent: per query and tree the length of the longest prefix that any string of the tree shares with the query's. It is
+        one of the two strings between which the query's would stand."""
+        out = np.zeros(s.shape, np.int64)
+        for t in range(self.trees):
+            keys = self.keys[:, t]
+            at = np.searchsorted(keys, s[:, t])
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(keys) - 1)):
+                # frexp's exponent is the number of bits of a whole number below 2**60 but for rounding up at the top
+                differ = keys[near] ^ s[:, t]
+                high = differ >> 30
+                size = np.where(high > 0, 30 + np.frexp(high.astype(np.float64))[1], np.frexp(differ.astype(np.float64))[1])
+                out[:, t] = np.maximum(out[:, t], self.bits - size)
+        return out
+
+    def ranges(self, s: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per query and tree the range of the tree's array that shares the first `level` bits."""
+        shift = self.bits - level
+        low = s >> shift << shift
+        a, b = np.empty_like(low), np.empty_like(low)
+        for t in range(self.trees):
+            a[:, t] = np.searchsorted(self.keys[:, t], low[:, t])
+            b[:, t] = np.searchsorted(self.keys[:, t], low[:, t] + (1 << shift))
+        return a, b
 
     def search(self, q: np.ndarray, least: int):
-        """Per query the candidates' rows and exact inner products."""
-        lo, hi = self.ranges(q, least)
+        """Per query the rows of at least `least` candidates (or all) and their exact inner products."""
+        s = self._strings(np.hstack([q, np.zeros((len(q), 1))]))
+        n, levels, level_of = len(self.x), {}, self.depths(s).max(axis=1)
+
+        def at(level: int) -> tuple[np.ndarray, np.ndarray]:
+            if level not in levels:
+                levels[level] = self.ranges(s, level)
+            return levels[level]
+
+        # ascent from the longest match: until the trees' ranges hold MEETINGS times as many rows as there are
+        for level in range(int(level_of.max()) if len(q) else 0, 0, -1):
+            few = (level_of == level) & ((at(level)[1] - at(level)[0]).sum(axis=1) < MEETINGS * n)
+            level_of[few] = level - 1
         for k in range(len(q)):
-            hit = np.zeros(len(self.x), bool)
-            for t in range(self.trees):
-                hit[self.order[lo[k, t]:hi[k, t], t]] = True
-            rows = np.flatnonzero(hit)
+            level = int(level_of[k])
+            while True:
+                a, b = at(level)
+                met = np.bincount(np.concatenate([self.order[a[k, t]:b[k, t], t] for t in range(self.trees)]), minlength=n)
+                if np.count_nonzero(met) >= least or level == 0:
+                    break
+                level -= 1
+            rows = np.flatnonzero(met >= np.partition(met, n - least)[n - least])      # all of those that equally many trees hold
             yield rows, np.einsum("ij,j->i", self.x[rows], q[k])
 
 
@@ -123,8 +145,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         ids = [np.asarray(i, np.int64) for i in points["ids"]]
         forest = Forest(x, radius)
         q, own, found = np.stack(asked["v"].to_numpy()), asked["id"].to_numpy(), []
-        # a vector counts once for every tree, so that many hold k + 1 different ones
-        least = TREES * len(x) if share >= 1 else max(TREES * (k + 1), int(np.ceil(share * len(x))))
+        least = min(len(x), max(k + 1, int(np.ceil(share * len(x)))))
         for j, (at, score) in enumerate(forest.search(q, least)):
             got, s = best([ids[i] for i in at], score, own[j], k)
             found.append((own[j], got, s))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lumenscan.llm import forest
 
@@ -40,6 +41,32 @@ def test_recall_on_structureless_vectors_and_shards(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("n", [2000, 3000, 4096, 8192])
+def test_recall_and_share_with_the_parameters_in_use(n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked, shards = rng.choice(n, 60, replace=False), -(-n // forest.SHARD)
+    part, best, scored = rng.integers(0, shards, n), {i: [] for i in asked}, 0
+    for s in range(shards):
+        ids = np.flatnonzero(part == s)
+        for i, (rows, score) in zip(asked, forest.Forest(x[ids], 1.0).search(x[asked], int(np.ceil(forest.SHARE * len(ids))))):
+            scored += len(rows)
+            best[i] += [(-v, j) for v, j in zip(score, ids[rows]) if j != i]
+    want = {i: [j for j in np.argsort(-(x @ x[i])) if j != i][:20] for i in asked}
+    assert sum(len({j for _, j in sorted(best[i])[:20]} & set(want[i])) for i in asked) >= 0.9 * 20 * len(asked)
+    assert scored <= 0.35 * n * len(asked)
+
+
+def test_descent_finds_the_longest_prefix():
+    rng = np.random.default_rng(1)
+    f = forest.Forest(rng.standard_normal((300, 8)), 9.0)
+    s = f._strings(rng.standard_normal((20, 9)))
+    shared = lambda a, b: next((k for k in range(f.bits) if (a ^ b) >> (f.bits - 1 - k) & 1), f.bits)
+    want = [[max(shared(int(a), int(s[k, t])) for a in f.keys[:, t]) for t in range(0, f.trees, 16)] for k in range(20)]
+    assert f.depths(s)[:, ::16].tolist() == want
+
+
 def test_everything_with_share_one_copies_ties_and_bad_rows(spark):
     rng = np.random.default_rng(4)
     x = rng.integers(-2, 3, (300, 6)).astype(float)       # many equal scores
