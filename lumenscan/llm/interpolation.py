@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenscan.llm.blocks import crc_mod, partitions, row_groups, run_starts, stored, text_bytes, words
+from lumenscan.llm.blocks import crc_mod, partitions, row_groups, run_starts, stored, text_bytes, trim, words
 
 VOCABULARY_BITS = 20
+BUCKET_BYTES = 1 << 21
 FOLDS, TEST, TUNE = 10, 0, 1
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 _UNITS = "bucket int, keys binary, counts binary, kept binary"
@@ -39,7 +40,7 @@ _ROW = "bucket int, kind int, bases binary, sizes binary, x binary, place binary
 _FREQUENT, _AHEAD, _COUNTED = 0, 1, 2      # kinds of these rows: pairs of frequent words, pairs that go on to their second word, pairs with their counts
 _END, _START = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)     # stand for word hashes
 _ROWS_MAX = 1 << 14          # documents of a row group: the place of a document is 14 bits, its role 2
-_GROUP = 1 << 21             # bytes of text of a row group: a task's arrays are some 30 times that
+_GROUP = 1 << 20             # bytes of text of a row group: a task's arrays are some 30 times that
 _PAIR = 2 * (VOCABULARY_BITS + 1)
 _MASK = np.uint64((1 << _PAIR) - 1)
 _ODD = 0x9E3779B97F4A7C15 & ((1 << _PAIR) - 1) | 1
@@ -69,6 +70,13 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.int64) * buckets >> 32
 
 
+def _slices(buckets: np.ndarray):
+    """(bucket, slice) of every bucket that occurs in the ascending array; the others cost nothing."""
+    at = run_starts(buckets)
+    for a, z in zip(at.tolist(), np.append(at[1:], len(buckets)).tolist()):
+        yield int(buckets[a]), slice(a, z)
+
+
 def unigrams(src: DataFrame, buckets: int) -> DataFrame:
     """One row per bucket: the words of the training documents, sorted by hash, their counts, and those without the part set aside."""
     def count(batches):
@@ -78,8 +86,7 @@ def unigrams(src: DataFrame, buckets: int) -> DataFrame:
                 r = role[row]
                 v, at = np.unique(h[r > 0], return_inverse=True)
                 n, k = np.bincount(at, minlength=len(v)), np.bincount(at, r[r > 0] == 1, minlength=len(v)).astype(np.int64)
-                cut = np.searchsorted(_bucket(v, buckets), np.arange(buckets + 1))
-                rows = [(q, v[s].tobytes(), n[s].astype(np.int64).tobytes(), k[s].tobytes()) for q in range(buckets) if (s := slice(cut[q], cut[q + 1])).start < cut[q + 1]]
+                rows = [(q, v[s].tobytes(), n[s].astype(np.int64).tobytes(), k[s].tobytes()) for q, s in _slices(_bucket(v, buckets))]
                 if rows:
                     yield _batch(rows, _UNITS)
 
@@ -104,6 +111,7 @@ class Model:
         self.types = types + (docs > 0)
         self.pooled, self.other_types = pooled, types - self.k if pooled else 0
         self.size = (self.k if pooled else types) + 2
+        self.hashes = np.concatenate([self.keys, np.array([0, _END, _START], np.uint64)])       # by number
         special = lambda c, t, d: np.concatenate([c[order], [t - c.sum(), d, d]]).astype(np.int64)
         self.count, self.kept = special(counts, total, docs), special(kept, total_kept, docs_kept)
 
@@ -150,7 +158,9 @@ def fit_vocabulary(units: DataFrame, src: DataFrame, bits: int, pooled: bool) ->
 
 
 def _deal(batches, model: Model, buckets: int):
-    """Per row group: its pairs by bucket (0), its rarer words by bucket (1), its documents (2), its pairs with rarer words (3)."""
+    """Per row group: its pairs by bucket (0), its rarer words by bucket if they are pooled (1), its documents (2), its pairs with
+    rarer words (3): of two, of a rarer and a frequent one, of a frequent and a rarer one. Every word stands before another or the
+    end, so each occurrence of a rarer word is in its own bucket once, as the first of a pair."""
     m = np.uint64(model.k + 3)
     for b in batches:
         for base, rows_at, data, off, role in _groups(b):
@@ -180,31 +190,31 @@ def _deal(batches, model: Model, buckets: int):
                     before[1:] = sign[:-1]
                     before[first] = _START
                     a, z, p, by_context = before[far], sign[far], place[far], context[far] == model.unk
-                    which = _bucket(np.where(by_context, a, z), buckets)
-                    order = np.argsort(which, kind="stable")
-                    a, z, p = a[order], z[order], p[order]
-                    cut = np.searchsorted(which[order], np.arange(buckets + 1))
-                    rows += [(q, base, 3, a[c].tobytes(), z[c].tobytes(), p[c].tobytes(), None, None) for q in range(buckets) if (c := slice(cut[q], cut[q + 1])).start < c.stop]
+                    number_a, number_z = context[far].astype(np.uint32), token[far].astype(np.uint32)
+                    two = by_context & (number_z == model.unk)
+                    # a frequent partner goes as its number, half as long as a hash; a bucket gets all three kinds in one row
+                    sets = []
+                    for at, key, partner in ((two, a, z), (by_context & ~two, a, number_z), (~by_context, z, number_a)):
+                        at = np.flatnonzero(at)
+                        at = at[np.argsort(_bucket(key[at], buckets), kind="stable")]
+                        key, partner, where = key[at], partner[at], p[at]
+                        sets.append({q: (key[c].tobytes(), partner[c].tobytes(), where[c].tobytes()) for q, c in _slices(_bucket(key, buckets))})
+                    for q in sorted(set().union(*sets)):
+                        got = [x.get(q, (b"", b"", b"")) for x in sets]
+                        rows.append((q, base, 3, b"".join(x[0] for x in got), got[0][1], b"".join(x[2] for x in got), got[1][1] + got[2][1], np.array([len(x[0]) // 8 for x in got], np.int64).tobytes()))
                     token, context, place = token[~far], context[~far], place[~far]
             x = (context * m + token) * np.uint64(_ODD) & _MASK
             order = np.argsort(x, kind="stable")
             x, place = x[order], place[order]
             which = (x >> np.uint64(_PAIR - 32)).astype(np.int64) * buckets >> 32
-            cut = np.searchsorted(which, np.arange(buckets + 1))
             low, top = x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
-            for q in range(buckets):
-                s = slice(cut[q], cut[q + 1])
-                if s.start < s.stop:
-                    at = run_starts(top[s])
-                    rows.append((q, base, 0, low[s].tobytes(), place[s].tobytes(), top[s][at].tobytes(), np.diff(np.append(at, s.stop - s.start)).astype(np.uint32).tobytes(), None))
-            rare = np.flatnonzero(other)
-            if len(rare):
+            for q, s in _slices(which):
+                at = run_starts(top[s])
+                rows.append((q, base, 0, low[s].tobytes(), place[s].tobytes(), top[s][at].tobytes(), np.diff(np.append(at, s.stop - s.start)).astype(np.uint32).tobytes(), None))
+            if model.pooled and other.any():
+                rare = np.flatnonzero(other)
                 rare = rare[np.argsort(h[rare], kind="stable")]
-                cut = np.searchsorted(_bucket(h[rare], buckets), np.arange(buckets + 1))
-                for q in range(buckets):
-                    s = rare[cut[q]:cut[q + 1]]
-                    if len(s):
-                        rows.append((q, base, 1, h[s].tobytes(), row[s].astype(np.uint16).tobytes(), None, None, None))
+                rows += [(q, base, 1, h[rare[c]].tobytes(), row[rare[c]].astype(np.uint16).tobytes(), None, None, None) for q, c in _slices(_bucket(h[rare], buckets))]
             known = model.count[number.astype(np.int64)]
             sums = np.bincount(row[~other], model.base(known[~other]), minlength=n_docs) + model.base(model.count[model.k + 1])
             n_known = np.bincount(row[~other], minlength=n_docs) + (model.count[model.k + 1] > 0)
@@ -212,6 +222,7 @@ def _deal(batches, model: Model, buckets: int):
             flat = np.concatenate([ids.fill_null(0).to_numpy(), np.asarray(ids.is_null()).astype(np.int64), role, size + 1, n_known, np.bincount(row[other], minlength=n_docs)]).astype(np.int64)
             rows.append((base % buckets, base, 2, flat.tobytes(), sums.tobytes(), None, None, None))
             yield _batch(rows, _PARTS)
+        trim()
 
 
 def _join(items: list[tuple[int, bytes, bytes]]) -> bytes:
@@ -298,10 +309,19 @@ def _counted(bucket: int, part: tuple, c, ck, t, tk, train, kept, tune, model: M
     return (bucket, _COUNTED, *part, None, cells, amounts, None, np.concatenate([c, t, train]).astype(np.int64).tobytes())
 
 
+def _both(r: dict, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of both words of a row's pairs: of two rarer words, of a rarer and a frequent one, of a frequent and a rarer one."""
+    key, n = np.frombuffer(r["a"], np.uint64), np.frombuffer(r["e"], np.int64)
+    partner = model.hashes[np.frombuffer(r["d"], np.uint32)]
+    first = n[0] + n[1]
+    return np.concatenate([key[:first], partner[n[1]:]]), np.concatenate([np.frombuffer(r["b"], np.uint64), partner[:n[1]], key[first:]])
+
+
 def _rarer(rows: list[dict], words_: tuple, model: Model, buckets: int) -> list[tuple]:
     """Pairs with a rarer word, in its bucket: with their counts, or on the way to their second word."""
     bucket, bases = rows[0]["bucket"], np.array([r["base"] for r in rows], np.int64)
-    a, b, place = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("a", np.uint64), ("b", np.uint64), ("c", np.uint16)))
+    a, b = (np.concatenate(x) for x in zip(*(_both(r, model) for r in rows)))
+    place = np.concatenate([np.frombuffer(r["c"], np.uint16) for r in rows])
     group = np.repeat(np.arange(len(rows)), [len(r["c"]) // 2 for r in rows])
     order = np.lexsort((b, a))
     new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
@@ -340,6 +360,11 @@ def _second(parts: pa.Table, units: pa.Table, model: Model) -> pa.Table:
     return pa.Table.from_batches([_batch([_counted(rows[0]["bucket"], part, c, ck, t, tk, train, kept, tune, model)], _ROW)])
 
 
+def _trimmed(result: pa.Table) -> pa.Table:
+    trim()
+    return result
+
+
 def _merge(parts: pa.Table, units: pa.Table, model: Model, buckets: int) -> pa.Table:
     rows = sorted(parts.to_pylist(), key=lambda r: (r["base"], r["kind"]))
     if not rows:
@@ -354,8 +379,11 @@ def _merge(parts: pa.Table, units: pa.Table, model: Model, buckets: int) -> pa.T
     keys, counts, _ = words_
     sums = []
     for r in rows:
-        if r["kind"] == 1:
-            h, row = np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint16).astype(np.int64)
+        if r["kind"] in (1, 3):
+            h, row = np.frombuffer(r["a"], np.uint64), (np.frombuffer(r["b"], np.uint16) if r["kind"] == 1 else np.frombuffer(r["c"], np.uint16) & np.uint16(_ROWS_MAX - 1)).astype(np.int64)
+            if r["kind"] == 3:
+                first = int(np.frombuffer(r["e"], np.int64)[:2].sum())
+                h, row = h[:first], row[:first]
             n = np.zeros(len(h), np.int64)
             if len(keys):
                 at = np.searchsorted(keys, h)
@@ -417,7 +445,8 @@ def _score(batches, model: Model, table: np.ndarray):
                 have[:len(got)] += got
 
     for b in batches:
-        for r in b.to_pylist():
+        for i in range(b.num_rows):       # a row is large: one at a time
+            r = {name: column[i].as_py() for name, column in zip(b.schema.names, b.columns)}
             if sum(map(len, held.values())) > _HELD:
                 yield batch([(base, 0, v.tobytes(), None) for base, v in held.items()])
                 held.clear()
@@ -438,6 +467,7 @@ def _score(batches, model: Model, table: np.ndarray):
             out = [(base, 1, a, None) for base, a, _ in _split(r["sums"])] + [(base, 2, a, s) for base, a, s in _split(r["metas"])]
             if out:
                 yield batch(out)
+        trim()
     if held:
         yield batch([(base, 0, v.tobytes(), None) for base, v in held.items()])
 
@@ -462,17 +492,19 @@ def _finish(part: pa.Table, total: int) -> pa.Table:
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, held: int = VOCABULARY_BITS) -> DataFrame:
     """Every document's scores. Without `bits` no word is pooled, and words of more than N / 2**held occurrences count as frequent."""
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)      # small enough that a bucket's arrays fit a task many times over
     src = docs.select(F.monotonically_increasing_id().alias("ref"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
                       crc_mod(F.col(id_col), FOLDS).cast("int").alias("fold"))
+    # a bucket's arrays are those of some BUCKET_BYTES of text, whatever the size of the corpus and the number of partitions
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * partitions(spark), size // BUCKET_BYTES)
     units = unigrams(src, buckets)
     fitted = fit_vocabulary(units, src.select("fold"), held if bits is None else bits, bits is not None)
     model = spark.sparkContext.broadcast(fitted)
     dealt = src.mapInArrow(lambda batches: _deal(batches, model.value, buckets), _PARTS)
-    table = stored(dealt.groupBy("bucket").cogroup(units.groupBy("bucket")).applyInArrow(lambda p, u: _merge(p, u, model.value, buckets), _ROW))
+    table = stored(dealt.groupBy("bucket").cogroup(units.groupBy("bucket")).applyInArrow(lambda p, u: _trimmed(_merge(p, u, model.value, buckets)), _ROW))
     if bits is None:
         ahead = table.where(F.col("kind") == _AHEAD).groupBy("bucket").cogroup(units.groupBy("bucket"))
-        table = table.where(F.col("kind") != _AHEAD).unionByName(stored(ahead.applyInArrow(lambda p, u: _second(p, u, model.value), _ROW)))
+        table = table.where(F.col("kind") != _AHEAD).unionByName(stored(ahead.applyInArrow(lambda p, u: _trimmed(_second(p, u, model.value)), _ROW)))
 
     def cells(batches):
         for b in batches:
@@ -482,6 +514,6 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
     # at most 66 x 128 x 128 cells, whatever the corpus
     sums = table.select("cells", "amounts").mapInArrow(cells, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
     mix = weights(np.array([r["cell"] for r in sums], np.int64), np.array([r["n"] for r in sums], np.float64), fitted.size)
-    partial = table.mapInArrow(lambda batches: _score(batches, model.value, mix), "base bigint, kind int, a binary, b binary")
+    partial = table.drop("bucket", "cells", "amounts").mapInArrow(lambda batches: _score(batches, model.value, mix), "base bigint, kind int, a binary, b binary")
     total = fitted.n
     return partial.groupBy("base").applyInArrow(lambda part: _finish(part, total), RESULT)
