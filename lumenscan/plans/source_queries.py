@@ -11,6 +11,7 @@ from lumenscan.sources import scan_source as SS
 from lumenscan.sources.shared import shared_folder
 
 CHANNELS = 40
+FOLDER_FILES = 10_000     # a folder is listed at once
 
 FILES = f"""f AS (SELECT doc_id, length(coalesce(text, '')) AS k, CASE WHEN length(coalesce(text, '')) % 13 = 0 THEN 'xyz' WHEN doc_id % 4 = 2 THEN 'as7' WHEN doc_id % 4 = 3 THEN 'ASD' ELSE 'as8' END AS magic FROM documents),
 g AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'short_header' WHEN k % 17 = 0 THEN 'unknown_format' WHEN k % 11 = 0 THEN 'truncated_samples' END AS error_code,
@@ -23,9 +24,10 @@ def scan_folder(spark, sf) -> str:
     SS.register(spark)
     k, ch = F.length(F.coalesce("text", F.lit(""))), F.sequence(F.lit(0), F.lit(CHANNELS - 1))
     d = table(spark, sf, "documents").select("doc_id", k.alias("k"))
+    n_folders = max(1, -(-d.count() // FOLDER_FILES))
     magic = F.when(F.col("k") % 13 == 0, "xyz").when(F.col("doc_id") % 4 == 2, "as7").when(F.col("doc_id") % 4 == 3, "ASD").otherwise("as8")
     dn, white = F.transform(ch, lambda i: ((F.col("k") + 7 * i) % 997 + 1).cast("double")), F.transform(ch, lambda i: (i + 1000).cast("double"))
-    d = d.select(F.concat(F.lit("d"), F.col("doc_id"), F.lit(".asd")).alias("name"), magic.alias("magic"), (F.col("doc_id") % 60000 + 1).alias("serial"), F.lit(350.0).alias("wl_start"), F.lit(1.0).alias("wl_step"),
+    d = d.select(F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(n_folders)), F.lit("/d"), F.col("doc_id"), F.lit(".asd")).alias("name"), magic.alias("magic"), (F.col("doc_id") % 60000 + 1).alias("serial"), F.lit(350.0).alias("wl_start"), F.lit(1.0).alias("wl_step"),
                  F.when(F.col("k") % 17 == 0, 9).otherwise(2).alias("data_format"), F.when(magic == "ASD", F.zip_with(dn, white, lambda x, y: x / y)).otherwise(dn).alias("sample"), white.alias("reference"),
                  F.when(F.col("k") % 7 == 0, F.col("k") % 180 + 300).when((F.col("k") % 11 == 0) & (F.col("k") % 17 != 0), F.lit(584)).alias("keep"))
     folder = shared_folder(spark)

@@ -6,14 +6,16 @@
     spark.readStream.format("scan_files").option("indexLocation", "/state/scans").load("/scans")
     df.select("name", "content").write.format("scan_files").mode("append").save("/scans")
 
-Batch: the folder is listed once, copies beside their source are left out, and files are packed into partitions by size
-(``partitionBytes``). Every candidate file gives a row; a file that cannot be decoded has ``decode_error`` in words and
+Batch: the folder is listed once, one subfolder at a time, copies beside their source are left out, and files are packed into
+partitions by size (``partitionBytes``). What planning holds of a file is its entry in a compressed list, so very many files
+should be written to subfolders (names may hold them). Every candidate file gives a row; a file that cannot be decoded has ``decode_error`` in words and
 ``error_code`` as a key (too_large, unreadable, short_header, unknown_format, truncated_samples). Only the requested columns are made: without blocks,
 hash or shape among them, 484 bytes of each file are read, whatever its length.
 
 Stream: each trigger lists the folder and appends what is new, or has another length or time than before, to an index of small
 files, ordered by (time, path); an entry's place in the index is its ``arrival_seq``, gapless and final. Offsets are lengths of
-that index, so a replayed batch reads the same entries, and a file rewritten in place arrives again. ``maxFileAge`` (seconds) lets
+that index, so a replayed batch reads the same entries, and a file rewritten in place arrives again. In memory the index is
+compressed by folder. ``maxFileAge`` (seconds) lets
 the stream forget files that are so much older than the newest one: its memory is bounded by what arrives in that time.
 
 Any file system that Arrow opens by URI works (local, hdfs, s3, gs). Names follow ``scan_files.candidate``.
@@ -24,12 +26,15 @@ import hashlib
 import json
 import re
 import uuid
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -37,7 +42,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from lumenscan.sources import scan_files as SF
 
-PARTITION_BYTES, OPEN_BYTES, BATCH = 64 << 20, 1 << 16, 256
+PARTITION_BYTES, OPEN_BYTES, BATCH, INDEX_FILE = 64 << 20, 1 << 16, 256, 10_000
 _FILE = [T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("arrival_seq", T.LongType())]
 _BLOCKS = {"ole_reference", "ole_spectrum", "sample_dn", "reference_dn", "stored_r"}
 _SHAPE = T.StructType([T.StructField("state", T.StringType()), T.StructField("reason", T.StringType())])
@@ -54,9 +59,23 @@ class Entry:
     seq: int | None = None
 
 
+def squeezed(rows: list) -> bytes:
+    return zlib.compress(json.dumps(rows).encode(), 1)
+
+
+def unsqueezed(b: bytes) -> list:
+    return json.loads(zlib.decompress(b))
+
+
 class Files(InputPartition):
+    """Entries of one partition, compressed: planning holds all partitions at once."""
+
     def __init__(self, entries: list[Entry]) -> None:
-        self.value = entries
+        self.entries = squeezed([[e.path, e.size, e.time_us, e.seq] for e in entries])
+
+    @property
+    def value(self) -> list[Entry]:
+        return [Entry(*x) for x in unsqueezed(self.entries)]
 
 
 def opened(path: str) -> tuple[pfs.FileSystem, str]:
@@ -65,33 +84,43 @@ def opened(path: str) -> tuple[pfs.FileSystem, str]:
     return pfs.LocalFileSystem(), path
 
 
+def _folder(path: str) -> str:
+    return path.rpartition("/")[0]
+
+
 def is_candidate(name: str) -> bool:
     return bool(_NAME.search(name)) and not _TEMPORARY.search(name)
 
 
-def listed(path: str, recursive: bool = True) -> list[Entry]:
-    """Candidate files, without copies that stand beside their source, ordered by path."""
+def listed(path: str, recursive: bool = True) -> Iterator[Entry]:
+    """Candidate files, without copies that stand beside their source, ordered by name in a folder; one folder is held at a time."""
     fs, root = opened(path)
-    found = {i.path: i for i in fs.get_file_info(pfs.FileSelector(root, recursive=recursive)) if i.type == pfs.FileType.File and is_candidate(i.base_name)}
-    out = []
-    for p, i in sorted(found.items()):
-        if not (p.lower().endswith(".sco") and p[:-4] in found):
-            out.append(Entry(p, i.size, int(i.mtime_ns or 0) // 1000))
-    return out
-
-
-def packed(entries: list[Entry], limit: int) -> list[Files]:
+    folders = [root]
+    while folders:
+        here = folders.pop()
+        infos = fs.get_file_info(pfs.FileSelector(here, allow_not_found=here != root))
+        found = {i.path: i for i in infos if i.type == pfs.FileType.File and is_candidate(i.base_name)}
+        if recursive:
+            folders += sorted((i.path for i in infos if i.type == pfs.FileType.Directory), reverse=True)
+        del infos
+        for p, i in sorted(found.items()):
+            if not (p.lower().endswith(".sco") and p[:-4] in found):
+                yield Entry(p, i.size, int(i.mtime_ns or 0) // 1000)
+
+
+def packed(entries: Iterable[Entry], limit: int) -> list[Files]:
     """Partitions of about `limit` bytes; a file counts as OPEN_BYTES at least."""
     out: list[Files] = []
-    size = limit
+    part: list[Entry] = []
+    size = 0
     for e in entries:
         cost = max(e.size, OPEN_BYTES)
-        if size + cost > limit:
-            out.append(Files([]))
-            size = 0
-        out[-1].value.append(e)
+        if part and size + cost > limit:
+            out.append(Files(part))
+            part, size = [], 0
+        part.append(e)
         size += cost
-    return out
+    return out + [Files(part)] if part else out
 
 
 def shape_of(read_at: Callable[[int, int], bytes], size: int) -> tuple[str, str | None]:
@@ -145,6 +174,12 @@ def lowered(options) -> dict:
     return {k.lower(): v for k, v in options.items()}
 
 
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """BATCH rows at a time: what Python makes of a row is many times its size."""
+    for b in batches:
+        yield from (b.slice(k, BATCH) for k in range(0, b.num_rows, BATCH))
+
+
 class _Rows:
     """Reads one partition's files into the requested columns."""
 
@@ -207,18 +242,26 @@ class ScanReader(DataSourceReader):
 
 
 class Index:
-    """What has arrived, in order: numbered small files of entries, each written under another name first."""
+    """What has arrived, in order: numbered small files of entries, each written under another name first. What is known of a
+    folder's files is held as compressed lists of (path, size, time), the later ones over the earlier ones."""
 
     def __init__(self, location: str) -> None:
         self.fs, self.root = opened(location)
         self.fs.create_dir(self.root, recursive=True)
         self.files: list[tuple[int, int, str]] = []      # first entry, entries, path
-        self.known: dict[str, tuple[int, int]] = {}
+        self.folders: dict[str, list[bytes]] = {}
         self.length, self.newest = 0, 0
         names = sorted(i.path for i in self.fs.get_file_info(pfs.FileSelector(self.root)) if i.base_name.endswith(".json"))
         for name in names:
             self._take(name, self._load(name))
 
+    @property
+    def known(self) -> dict[str, tuple[int, int]]:
+        return {p: v for f in self.folders for p, v in self._known(f).items()}
+
+    def _known(self, folder: str) -> dict[str, tuple[int, int]]:
+        return {p: (size, time) for b in self.folders.get(folder, []) for p, size, time in unsqueezed(b)}
+
     def _load(self, name: str) -> list[Entry]:
         with self.fs.open_input_stream(name) as f:
             return [Entry(*x) for x in json.loads(f.read())]
@@ -226,35 +269,52 @@ class Index:
     def _take(self, name: str, entries: list[Entry]) -> None:
         self.files.append((self.length, len(entries), name))
         self.length += len(entries)
-        for e in entries:
-            self.known[e.path] = (e.size, e.time_us)
-            self.newest = max(self.newest, e.time_us)
-
-    def add(self, found: list[Entry], max_age_us: int | None) -> None:
-        """Append what is new or changed. Files older than the age are neither remembered nor taken."""
-        newest = max([self.newest, *(e.time_us for e in found)])
+        for folder, own in groupby(sorted(entries, key=lambda e: _folder(e.path)), lambda e: _folder(e.path)):    # stable: later entries stay behind earlier ones
+            self.folders.setdefault(folder, []).append(squeezed([[e.path, e.size, e.time_us] for e in own]))
+        self.newest = max([self.newest, *(e.time_us for e in entries)])
+
+    def add(self, found: Iterable[Entry], max_age_us: int | None) -> None:
+        """Append what is new or changed. Files older than the age are neither remembered nor taken. `found` comes folder by folder."""
+        newest, parts = self.newest, []
+        for folder, own in groupby(found, lambda e: _folder(e.path)):
+            known, own = self._known(folder), list(own)
+            newest = max([newest, *(e.time_us for e in own)])
+            own = [e for e in own if known.get(e.path) != (e.size, e.time_us)]
+            if known and len(self.folders[folder]) > 1:
+                self.folders[folder] = [squeezed([[p, *v] for p, v in known.items()])]
+            if own:
+                parts.append(pa.table({"time": pa.array([e.time_us for e in own], pa.int64()), "path": pa.array([e.path for e in own], pa.large_string()), "size": pa.array([e.size for e in own], pa.int64())}))
         oldest = newest - max_age_us if max_age_us is not None else -1
-        fresh = [e for e in found if e.time_us >= oldest and self.known.get(e.path) != (e.size, e.time_us)]
-        fresh.sort(key=lambda e: (e.time_us, e.path))
         if max_age_us is not None:
-            self.known = {p: v for p, v in self.known.items() if v[1] >= oldest}
-        if not fresh:
+            for folder in list(self.folders):
+                kept = [[p, *v] for p, v in self._known(folder).items() if v[1] >= oldest]
+                self.folders[folder] = [squeezed(kept)]
+                if not kept:
+                    del self.folders[folder]
+        if not parts:
             return
-        for k, e in enumerate(fresh):
-            e.seq = self.length + k + 1
-        name, draft = f"{self.root}/{self.length:012d}.json", f"{self.root}/.{uuid.uuid4().hex}"
-        with self.fs.open_output_stream(draft) as f:
-            f.write(json.dumps([[e.path, e.size, e.time_us, e.seq] for e in fresh]).encode())
-        self.fs.move(draft, name)
-        self._take(name, fresh)
-
-    def between(self, start: int, end: int) -> list[Entry]:
-        """Entries start + 1 to end."""
-        out = []
+        fresh = pa.concat_tables(parts).combine_chunks()     # or every take would join the chunks again
+        del parts
+        if max_age_us is not None:
+            fresh = fresh.filter(pc.greater_equal(fresh["time"], oldest)).combine_chunks()
+        order = pc.sort_indices(fresh, sort_keys=[("time", "ascending"), ("path", "ascending")])
+        for k in range(0, len(order), INDEX_FILE):
+            rows = fresh.take(order.slice(k, INDEX_FILE))
+            entries = [Entry(p, size, t, self.length + n) for n, (p, size, t) in enumerate(zip(rows["path"].to_pylist(), rows["size"].to_pylist(), rows["time"].to_pylist()), 1)]
+            name, draft = f"{self.root}/{self.length:012d}.json", f"{self.root}/.{uuid.uuid4().hex}"
+            with self.fs.open_output_stream(draft) as f:
+                f.write(json.dumps([[e.path, e.size, e.time_us, e.seq] for e in entries]).encode())
+            self.fs.move(draft, name)
+            self._take(name, entries)
+
+    def entries(self, start: int, end: int) -> Iterator[Entry]:
+        """Entries start + 1 to end; one file of the index is held at a time."""
         for first, n, name in self.files:
             if first < end and first + n > start:
-                out += [e for e in self._load(name) if start < e.seq <= end]
-        return out
+                yield from (e for e in self._load(name) if start < e.seq <= end)
+
+    def between(self, start: int, end: int) -> list[Entry]:
+        return list(self.entries(start, end))
 
 
 class ScanStreamReader(DataSourceStreamReader):
@@ -285,7 +345,7 @@ class ScanStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
         self.served = max(self.served, end["entries"])
-        return packed(self._index().between(start["entries"], end["entries"]), self.rows.partition_bytes) or [Files([])]
+        return packed(self._index().entries(start["entries"], end["entries"]), self.rows.partition_bytes) or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         yield from self.rows.batches(partition.value)
@@ -306,14 +366,15 @@ class ScanWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = opened(self.path)
         fs.create_dir(root, recursive=True)
-        for b in iterator:
-            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
-                draft, target = f"{root}/.{uuid.uuid4().hex}.part", f"{root}/{name}"
-                if "/" in name:
-                    fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(draft) as f:
-                    f.write(content or b"")
-                fs.move(draft, target)
+        made = {root}
+        for name, content in (x for b in sliced(iterator) for x in zip(b.column("name").to_pylist(), b.column("content").to_pylist())):
+            draft, target = f"{root}/.{uuid.uuid4().hex}.part", f"{root}/{name}"
+            if _folder(target) not in made:
+                fs.create_dir(_folder(target), recursive=True)
+                made.add(_folder(target))
+            with fs.open_output_stream(draft) as f:
+                f.write(content or b"")
+            fs.move(draft, target)
         return WriterCommitMessage()
 
     def commit(self, messages) -> None:
@@ -341,7 +402,7 @@ def encoded(df: DataFrame) -> DataFrame:
     names = ["magic", "serial", "wl_start", "wl_step", "sample", "reference", "data_format"]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             content = [encode_file(*row)[:keep] for *row, keep in zip(*(b.column(c).to_pylist() for c in [*names, "keep"]))]
             yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(content, pa.binary())], ["name", "content"])
 

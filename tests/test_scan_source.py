@@ -1,7 +1,9 @@
 import os
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +161,32 @@ def test_index_is_final_and_forgets_by_age(tmp_path):
 def test_a_stream_needs_its_index(spark, folder):
     with pytest.raises(Exception, match="indexLocation"):
         spark.readStream.format("scan_files").load(str(folder)).writeStream.format("noop").option("checkpointLocation", str(folder) + f"-ck{time.time()}").start().processAllAvailable()
+
+
+def test_planning_holds_files_compressed(tmp_path):
+    """Of very many files, planning and the stream's index hold some bytes each, whichever folder they stand in."""
+    n = 40_000
+    found = lambda: (SS.Entry(f"/shared/scans/{k // 4000}/d{k}.asd", 1144, 1_700_000_000_000_000 + k * 7919 % n) for k in range(n))
+    tracemalloc.start()
+    try:
+        parts = SS.packed(found(), SS.PARTITION_BYTES)
+        held = tracemalloc.get_traced_memory()[0]
+        assert held < 80 * n and sum(len(p.value) for p in parts) == n
+        tracemalloc.reset_peak()
+        one = SS.Index(str(tmp_path / "i"))
+        one.add(found(), None)
+        assert tracemalloc.get_traced_memory()[0] - held < 80 * n and one.length == n
+    finally:
+        tracemalloc.stop()
+    assert len(one.files) == -(-n // SS.INDEX_FILE)
+    again = SS.Index(str(tmp_path / "i"))
+    again.add(found(), None)
+    assert again.length == n and again.known == {e.path: (e.size, e.time_us) for e in found()}
+    got = again.between(0, n)
+    assert [e.seq for e in got] == list(range(1, n + 1)) and [(e.time_us, e.path) for e in got] == sorted((e.time_us, e.path) for e in found())
+
+
+def test_rows_are_made_in_small_batches():
+    whole = pa.RecordBatch.from_pydict({"k": list(range(1000))})
+    parts = list(SS.sliced([whole, whole.slice(0, 0)]))
+    assert max(b.num_rows for b in parts) == SS.BATCH and [k for b in parts for k in b.column("k").to_pylist()] == list(range(1000))
