@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD, TREES, BITS, MEETINGS, SHARE, BLOCK, SEED = 4096, 64, 60, 6, 0.25, 2048, 20
+TOGETHER = 64     # queries whose inner products are one matrix product; gathering each query's candidates takes longer
 FOUND = "query_id bigint, ids array<bigint>, scores array<double>"
 
 
@@ -43,8 +44,9 @@ class Forest:
         self.planes = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, trees * bits)).astype(np.float32)
         rest = np.sqrt(np.maximum(radius * radius - (x * x).sum(1), 0))
         keys = self._strings(np.hstack([x, rest[:, None]]))
-        self.order = np.argsort(keys, axis=0, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, 0)
+        order = np.argsort(keys, axis=0, kind="stable")
+        self.keys = np.asfortranarray(np.take_along_axis(keys, order, 0))
+        self.order = np.ascontiguousarray(order.T)      # by tree: a range is read as one piece
 
     def _strings(self, y: np.ndarray) -> np.ndarray:
         out = np.zeros((len(y), self.trees), np.int64)
@@ -89,20 +91,29 @@ class Forest:
                 levels[level] = self.ranges(s, level)
             return levels[level]
 
-        # ascent from the longest match: until the trees' ranges hold MEETINGS times as many rows as there are
-        for level in range(int(level_of.max()) if len(q) else 0, 0, -1):
-            few = (level_of == level) & ((at(level)[1] - at(level)[0]).sum(axis=1) < MEETINGS * n)
-            level_of[few] = level - 1
+        # ascent from the longest match: until the trees' ranges hold MEETINGS times as many rows as there are. Ranges only grow
+        # on the way up, so the level where that is first so is found by halving, not by reading all levels below it
+        low = np.zeros_like(level_of)
+        while (low < level_of).any():
+            middle = (low + level_of + 1) // 2
+            for level in np.unique(middle[low < level_of]).tolist():
+                here = (middle == level) & (low < level_of)
+                enough = (at(level)[1] - at(level)[0]).sum(axis=1) >= MEETINGS * n
+                low[here & enough] = level
+                level_of[here & ~enough] = level - 1
+        scores = np.zeros((0, n))
         for k in range(len(q)):
+            if k % TOGETHER == 0:
+                scores = q[k:k + TOGETHER] @ self.x.T
             level = int(level_of[k])
             while True:
                 a, b = at(level)
-                met = np.bincount(np.concatenate([self.order[a[k, t]:b[k, t], t] for t in range(self.trees)]), minlength=n)
+                met = np.bincount(np.concatenate([o[i:j] for o, i, j in zip(self.order, a[k].tolist(), b[k].tolist())]), minlength=n)
                 if np.count_nonzero(met) >= least or level == 0:
                     break
                 level -= 1
             rows = np.flatnonzero(met >= np.partition(met, n - least)[n - least])      # all of those that equally many trees hold
-            yield rows, np.einsum("ij,j->i", self.x[rows], q[k])
+            yield rows, scores[k % TOGETHER, rows]
 
 
 def best(ids: list[np.ndarray], scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:

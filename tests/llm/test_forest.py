@@ -83,3 +83,22 @@ def test_few_rows_and_none(spark):
     df = frame(spark, [(0, [1.0, 0.0], ""), (1, [0.5, 0.5], ""), (2, [0.0, 1.0], "")])
     assert found(forest.nearest(df, df.where("vec_id % 20 = 0"))) == {0: [1, 2]}
     assert forest.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_ascent_reads_few_levels_and_finds_the_same(monkeypatch):
+    """The level at which the trees' ranges hold enough is the first one on the way up; few levels are read on the way there."""
+    x = np.random.default_rng(8).standard_normal((900, 16))
+    f = forest.Forest(x, float(np.sqrt((x * x).sum(1).max())))
+    read, ranges = [], f.ranges
+    monkeypatch.setattr(f, "ranges", lambda s, level: (read.append(level), ranges(s, level))[1])
+    got = list(f.search(x[:50], 225))
+    assert len(read) < 0.75 * f.depths(f._strings(np.hstack([x[:50], np.zeros((50, 1))]))).max()
+    s = f._strings(np.hstack([x[:50], np.zeros((50, 1))]))
+    for k, (rows, score) in enumerate(got):
+        level = int(f.depths(s[k:k + 1]).max())
+        while level and sum(int(b) - int(a) for a, b in zip(*(r[0] for r in ranges(s[k:k + 1], level)))) < forest.MEETINGS * len(x):
+            level -= 1
+        a, b = ranges(s[k:k + 1], level)
+        met = np.bincount(np.concatenate([f.order[t, a[0, t]:b[0, t]] for t in range(f.trees)]), minlength=len(x))
+        assert rows.tolist() == np.flatnonzero(met >= np.sort(met)[-225]).tolist()
+        assert np.allclose(score, x[rows] @ x[k], rtol=0, atol=1e-12)
