@@ -8,7 +8,7 @@ from lumenscan.plans.driver_tables import ROWS_PER_TASK
 from test_queries import canon
 
 LONGEST = 8000      # bytes: the JVM only interprets methods above
-NAMES = ["sort_key", "override_and_second_opinion", "card_labels", "collagen_verdict", "readable_words", "explanation"]
+NAMES = ["sort_key", "override_and_second_opinion", "card_labels", "collagen_verdict", "readable_words", "explanation", "check_rows"]
 
 
 @pytest.fixture(scope="module")
