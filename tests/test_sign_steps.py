@@ -14,7 +14,7 @@ from test_queries import canon
 LONGEST = 8000      # bytes: the JVM only interprets methods above
 INTERPRETED = re.compile(r"filter\(array\(CASE WHEN")     # array_compact over conditions: Spark interprets them on every row
 NAMES = ["sort_key", "override_and_second_opinion", "card_labels", "collagen_verdict", "readable_words", "explanation", "check_rows"]
-COMPILED = ["sort_key", "override_and_second_opinion", "card_labels", "collagen_verdict", "readable_words"]
+COMPILED = ["sort_key", "override_and_second_opinion", "card_labels", "collagen_verdict", "readable_words", "explanation"]
 
 
 @pytest.fixture(scope="module")
