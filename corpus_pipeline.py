@@ -32,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # empty lines are never removed: a document that lost lines and has only empty ones left has lost all that it says
-    kept = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.replace("text", F.lit("\n"), F.lit("")) != ""))
+    kept = lines.dedup_lines(docs, tau=lines.TAU).where((F.col("n_removed") == 0) | (F.replace("text", F.lit("\n"), F.lit("")) != ""))
     return _as_documents(kept, docs)
 
 
